@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import chat, langid, licenses, quality, secrets, urls
+from palimpsest.llm import chat, jaccard, langid, licenses, quality, secrets, urls
 
-_MODULES = (chat, langid, licenses, quality, secrets, urls)
+_MODULES = (chat, jaccard, langid, licenses, quality, secrets, urls)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: sql for m in _MODULES for k, sql in m.ORACLE_SQL.items()}

@@ -1,18 +1,55 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again for the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again for the next.
+
+1. language id: documents whose language is rejected go. Learned from the documents that are not held out.
+2. n-gram join: of each class of near-duplicate documents the one of smallest doc_id stays.
+3. decontamination: documents that hold a benchmark item, with its own or with other values, go.
+4. secrets: each secret in a text is replaced by a mark of its kind; no document goes.
+5. packing: what is left is tokenised and packed into windows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.llm import decontaminate, jaccard, langid, packing, secrets
 from palimpsest.llm.common import saved, table
 
-STAGES = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return langid.keep_identified(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_secrets(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language id", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", redact_secrets),
+    ("packing", pack_sequences),
+]
 #: Compression, metric regions and token packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

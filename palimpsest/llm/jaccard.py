@@ -242,6 +242,13 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, whole: of each class the document of smallest doc_id, once."""
+    gone = jaccard_classes(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 

@@ -72,31 +72,51 @@ def sizes_by_language(model: dict[str, bytes]) -> Callable[[str], list[int]]:
     return sizes
 
 
+def _predictor(model: dict[str, bytes], min_margin: float) -> Callable[[list[str]], tuple[list[str], list[float], list[bool]]]:
+    langs, sizes = sorted(model), sizes_by_language(model)
+
+    def predict(texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+        pred, score = [], []
+        for text in texts:
+            if not langs or not _LETTER.search(text):
+                pred.append(UNKNOWN)
+                score.append(0.0)
+                continue
+            s = sizes(text)
+            best = min(s)
+            pred.append(langs[s.index(best)])
+            rest = sorted(s)[1:2]
+            score.append((rest[0] - best) / rest[0] if rest else 1.0)
+        return pred, score, [p == UNKNOWN or s < min_margin for p, s in zip(pred, score, strict=True)]
+
+    return predict
+
+
 def identify(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """docs with lang_pred, score and rejected in place of all but doc_id."""
-    langs = sorted(model)
+    """doc_id, lang_pred, score, rejected."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = sizes_by_language(model)
+        predict = _predictor(model, min_margin)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                pred, score = [], []
-                for text in texts.to_pylist():
-                    if not langs or not _LETTER.search(text):
-                        pred.append(UNKNOWN)
-                        score.append(0.0)
-                        continue
-                    s = sizes(text)
-                    best = min(s)
-                    pred.append(langs[s.index(best)])
-                    rest = sorted(s)[1:2]
-                    score.append((rest[0] - best) / rest[0] if rest else 1.0)
-                rejected = [p == UNKNOWN or s < min_margin for p, s in zip(pred, score, strict=True)]
+                pred, score, rejected = predict(texts.to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(docs: DataFrame, model: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs, whole, whose language is not rejected."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictor(model, min_margin)
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                yield part.filter(pa.array([not r for r in predict(texts.to_pylist())[2]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 

@@ -110,7 +110,7 @@ def longest_shortest_paths(links: DataFrame, redirects: DataFrame, max_nodes: in
     """src, dst, dist, path: all pairs at the greatest finite distance. For small graphs; a larger one raises.
 
     weights: hops (a redirect's link costs 0, others 1) or legacy (the other way round)."""
-    nodes = links.select(F.col("src").alias("n")).unionByName(links.select("dst")).distinct()
+    nodes = links.select(F.col("src").alias("n")).union(links.select("dst")).distinct()
     if (n := nodes.count()) > max_nodes:
         raise ValueError(f"{n} nodes; all pairs are for {max_nodes} at most")
     free, paid = (0, 1) if weights == "hops" else (1, 0)

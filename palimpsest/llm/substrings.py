@@ -32,14 +32,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.common import CHUNK_BYTES, chunks, partitions, strings, table
+from palimpsest.llm.common import chunks, partitions, strings, table
 from palimpsest.llm.suffix import permuted_lcp, suffix_array
 from palimpsest.llm.words import hash_ranges, mix
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
-#: Texts of one packed row, and bytes of one suffix array.
-PACK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
+#: Bytes of the texts of one packed row, of one suffix array, and of the texts whose anchors are found at once.
+PACK_BYTES, SHARD_BYTES, STEP_BYTES = 8 << 20, 1 << 19, 1 << 19
 _LAST = np.uint64((1 << 64) - 1)
 _NO_ID = (1 << 63) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -94,7 +94,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pad = np.zeros(SPAN - 1, np.uint64)
     chosen = _slide(np.concatenate([pad, least, pad]), SPAN, np.maximum)[: len(x)]
     at = np.flatnonzero((chosen == x) & (x != _LAST) & (x != 0))
-    return x[at] >> np.uint64(16), at
+    # Chosen hashes are small ones: mixed again, they spread evenly over shards.
+    return mix(x[at] ^ _BYTE[0]) >> np.uint64(16), at
 
 
 class Units:
@@ -118,7 +119,7 @@ class Units:
         """(hash, position in data) of all anchors."""
         parts, i, n = [], 0, len(self.first)
         while i < n:
-            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + CHUNK_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + STEP_BYTES, "right")) - 1)
             base = self.offsets[i]
             h, at = anchors(self.data[base : self.offsets[j]], self.offsets[i : j + 1] - base)
             parts.append((h, at + base))
@@ -247,6 +248,7 @@ def _judge(group: pa.Table) -> pa.Table:
     p, qs = group.column("p")[0].as_py(), group.column("q").to_pylist()
     parts = [_load(b) for b in group.column("blob").to_pylist()]
     data = np.frombuffer(b"".join(x[0] for x in parts), np.uint8)
+    parts = [(None, *x[1:]) for x in parts]
     size, h, doc = (np.concatenate([x[k] for x in parts]).astype(t) for k, t in ((1, np.int64), (2, np.uint64), (3, np.int64)))
     start = np.cumsum(size) - size
     every = ((np.int64(1) << (size - LENGTH + 1)) - 1).astype(np.int64)
@@ -341,8 +343,7 @@ def _remove(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    shards = partitions(docs.sparkSession)
-    groups = 2 * shards
+    shards = groups = 2 * partitions(docs.sparkSession)
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(groups), _ROW)
     said = dealt.groupBy("q").applyInArrow(_announce(shards), _ROW)
     answers = said.groupBy("p").applyInArrow(_answer, _ROW)

@@ -4,20 +4,23 @@ Jaccard distance is a metric, so a document at distance a from a pivot can only
 distance from it lies in the window [a - r, a + r], r = 1 - similarity.
 
 1. Every text becomes its set of distinct word shingles. Equal sets are one point of the space.
-2. Pivots. Nearly all pairs of documents lie at distance 1, where no window separates anything, so pivots taken at
-   random would replicate everything everywhere. Pivots are therefore taken where the space is dense: shingles
-   stand in one fixed order, rare ones first, and two linked sets of n shingles must share one of the first
-   n - ceil(0.9 n) + 1. Of all sets that hold the same such shingle the one of smallest id is a pivot, and the
-   others fall in its region. A set belongs to the region of every pivot that it meets in this way, so each linked
-   pair meets in a region.
+2. Pivots. Nearly all pairs of documents lie at distance 1, where no window separates anything, so document pivots taken
+   at random would replicate everything everywhere. Pivots are therefore taken where the space is dense, in two steps.
+   The empty set is the first pivot: by distance from it (their size) sets lie in rings, linked sets at most one
+   ring apart, so each set stands in its own ring and in the window of the next. In a ring the shingles are dealt
+   by hash into parts, one more than linked sets can differ by shingles. The difference of two sets is the sum of
+   their differences over the parts, so linked sets are at distance 0 in one part at least: they share that part's
+   region. Of the sets there the one of smallest id is the pivot document, and the others fall in its region. Pivots that
+   share several parts are near each other, and their regions become one.
 3. A region joins recursively: pivots far from each other, nearest-pivot (Voronoi) cells, each widened by the
    window of 2 r that the triangle inequality gives, until a cell is small or no longer shrinks; then all its
    pairs that the sizes allow are measured. Everything is exact.
 4. Regions above a bounded number of shingles are dealt to several tasks, as blocks of pairs.
 5. Links become classes through connected components.
 
-Shingle order. The counts behind "rare first" are kept in ORDER_BUCKETS hashed buckets over all texts; the table is of
-fixed size. Any fixed order gives the same links; this one keeps shingles that very many documents share out of step 2.
+Copies are reduced to one per task before anything is sent. A part's region is sent as packed arrays of about 12 bytes
+per part and set, and only texts that share a region are sent themselves. What grows with the corpus is never broadcast,
+so the joins have one form at every size.
 
 Defined cases. Null or empty text, or white space only: empty set, n_shingles 0, linked with nothing,
 component_id is its own doc_id. Fewer words than a shingle: the whole sequence is its one shingle. Copies and repeated
@@ -31,20 +34,21 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, saved, strings, table
+from palimpsest.llm.common import CHUNK_BYTES, chunks, partitions, saved, table
 from palimpsest.llm.components import components
 from palimpsest.llm.words import combine, mix, split, windows
 
 WORDS, PERCENT = 3, 90
-ORDER_BUCKETS, _PIECES = 1 << 18, 16
 #: Shingles of one block of a region, and pivots of one step of its recursion.
 BLOCK_SHINGLES, PIVOTS, SMALL = 1 << 21, 6, 32
-_B = np.uint64(8)
+#: Shared parts from which two pivots' regions are joined as one.
+NEAR_PARTS = 3
+_B, _RING_BITS = np.uint64(8), np.uint64(8)
 
 
 def shingles(texts: pa.LargeStringArray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,52 +72,107 @@ def shingles(texts: pa.LargeStringArray, words: int) -> tuple[np.ndarray, np.nda
     return tri >> _B, bounds
 
 
-def _bucket(ids: np.ndarray) -> np.ndarray:
-    return (ids & np.uint64(ORDER_BUCKETS - 1)).astype(np.int64)
+def _sets(texts: pa.LargeStringArray, words: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(all distinct shingles of each text in turn, their numbers, two 64-bit sums that name each set)."""
+    ids, bounds = shingles(texts, words)
+    sets = [np.unique(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    n = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if len(sets) else ids[:0]
+    every = mix(flat)
+    start = np.concatenate([[0], np.cumsum(n)])
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (every, mix(every + np.uint64(1)))]
+    return flat, n, [x[start[1:]] - x[start[:-1]] for x in sums]
 
 
-def shingle_order(docs: DataFrame, words: int) -> np.ndarray:
-    """The class of each bucket, rare ones lower."""
+def describe(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, s1 and s2 (a 128-bit digest of the set; null if empty)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(ORDER_BUCKETS, np.int64)
         for batch in batches:
-            for _, texts in chunks(batch, "text"):
-                counts += np.bincount(_bucket(shingles(texts, words)[0]), minlength=ORDER_BUCKETS)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(range(_PIECES), pa.int32()), "counts": pa.array([p.astype(np.int64).tobytes() for p in np.split(counts, _PIECES)], pa.binary())})
+            for part, texts in chunks(batch, "text"):
+                _, n, sums = _sets(texts, words)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), *(pa.array(x.view(np.int64), mask=n == 0) for x in sums)], ["doc_id", "n", "s1", "s2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+
 
-    def add(piece: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"piece": [piece["piece"].iloc[0]], "counts": [sum(np.frombuffer(x, np.int64) for x in piece["counts"]).tobytes()]})
+def _pack(shard: int, sig: np.ndarray, doc: np.ndarray, name: np.ndarray) -> tuple[int, bytes]:
+    planes = lambda x: x.view(np.uint8).reshape(-1, 8).T.tobytes()
+    raw = np.int64(len(sig)).tobytes() + planes(np.diff(sig, prepend=np.uint64(0))) + planes(doc) + planes(name & np.uint64((1 << 40) - 1))
+    return shard, zstandard.ZstdCompressor(level=1).compress(raw)
 
-    total = np.zeros(ORDER_BUCKETS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "piece int, counts binary").groupBy("piece").applyInPandas(add, "piece int, counts binary").collect():
-        part = np.frombuffer(bytes(r["counts"]), np.int64)
-        total[r["piece"] * len(part) : (r["piece"] + 1) * len(part)] = part
-    return np.minimum(255, 6 * np.log2(np.maximum(total, 1))).astype(np.uint64)
 
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    sig, doc, name = (np.frombuffer(raw[8 + 8 * n * k : 8 + 8 * n * (k + 1)], np.uint8).reshape(8, n).T.copy().view(np.uint64).ravel() for k in range(3))
+    return np.cumsum(sig, dtype=np.uint64), doc.view(np.int64), name
 
-def describe(docs: DataFrame, order: np.ndarray, words: int, percent: int) -> DataFrame:
-    """doc_id, n, s1 and s2 (a 128-bit digest of the set; null if empty), prefix."""
-    top = order << np.uint64(56)
+
+def _parts(words: int, percent: int, shards: int):
+    """Packed (part of a ring with its content, doc_id, name of the set) of every distinct set, by shard."""
+    width = np.log(100 / percent * 1.0001)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, "text"):
-                ids, bounds = shingles(texts, words)
-                ids = ids | top[_bucket(ids)]
-                sets = [np.unique(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                n = np.array([len(s) for s in sets], np.int64)
-                every = mix(np.concatenate(sets)) if len(sets) else np.zeros(0, np.uint64)
-                start = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (every, mix(every + np.uint64(1)))]
-                digest = [pa.array((s[start[1:]] - s[start[:-1]]).view(np.int64), mask=n == 0) for s in sums]
-                take = n - (percent * n + 99) // 100 + 1
-                take[n == 0] = 0
-                prefix = np.concatenate([s[:k] for s, k in zip(sets, take.tolist(), strict=True)]) if len(sets) else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(prefix.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n), *digest, lists], ["doc_id", "n", "s1", "s2", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+            for part, texts in chunks(batch, "text", 2 * CHUNK_BYTES):
+                ids = part.column("doc_id").cast(pa.int64())
+                there = np.array(ids.is_valid())
+                doc = ids.fill_null(0).to_numpy()
+                flat, n, sums = _sets(texts, words)
+                first = np.zeros(len(n), np.bool_)  # one of each set, the smallest id
+                order = np.lexsort((doc, sums[1], sums[0]))
+                order = order[(n > 0)[order] & there[order]]
+                first[order[np.append(True, (np.diff(sums[0][order]) != 0) | (np.diff(sums[1][order]) != 0))[: len(order)]]] = True
+                flat, n, doc, name = flat[np.repeat(first, n)], n[first], doc[first], sums[0][first]
+                if not len(n):
+                    continue
+                owner = np.repeat(np.arange(len(n)), n)
+                place, value = mix(flat ^ np.uint64(0x5BD1E995)) >> np.uint64(32), mix(flat + np.uint64(0x51ED27))
+                home = np.floor(np.log(n) / width).astype(np.int64)
+                sigs, docs, names = [], [], []
+                for ring in (home, home + 1):
+                    most = np.ceil(np.exp((ring + 1) * width)).astype(np.int64) + 1
+                    m = 2 * most * (100 - percent) // (100 + percent) + 1
+                    start = np.cumsum(m) - m
+                    at = start[owner] + (place * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                    content = np.zeros(m.sum(), np.uint64)
+                    np.add.at(content, at, value)
+                    of = np.repeat(np.arange(len(n)), m)
+                    number = (np.arange(len(of)) - start[of]).astype(np.uint64)
+                    sigs.append(combine(content, number, ring[of].astype(np.uint64)) & ~np.uint64(255) | ring[of].astype(np.uint64) & np.uint64(255))
+                    docs.append(doc[of])
+                    names.append(name[of])
+                sig, doc, name = np.concatenate(sigs), np.concatenate(docs), np.concatenate(names)
+                order = np.argsort(sig)
+                sig, doc, name = sig[order], doc[order], name[order]
+                shard = ((sig >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                cut = np.searchsorted(shard, np.arange(shards + 1))
+                rows = [_pack(k, sig[a:b], doc[a:b], name[a:b]) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
+
+    return run
+
+
+def _meet(percent: int):
+    """pivot, rep, n (about) and number of shared parts of the sets that share one."""
+    width = np.log(100 / percent * 1.0001)
+
+    def run(group: pa.Table) -> pa.Table:
+        sig, doc, name = (np.concatenate(x) for x in zip(*map(_unpack, group.column("blob").to_pylist()), strict=True))
+        order = np.lexsort((doc, name, sig))
+        sig, doc, name = sig[order], doc[order], name[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (name[1:] != name[:-1]))
+        sig, doc = sig[new], doc[new]
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        size = np.diff(np.append(start, len(sig)))
+        pivot = np.repeat(np.minimum.reduceat(doc, start), size)
+        keep = np.repeat(size > 1, size)
+        n = np.exp(((sig & np.uint64(255)).astype(np.float64) + 1) * width).astype(np.int64)
+        pairs, parts = np.unique(np.stack([pivot[keep], doc[keep], n[keep]]), axis=1, return_counts=True)
+        return pa.table({"pivot": pairs[0], "rep": pairs[1], "n": pairs[2], "parts": parts})
+
+    return run
 
 
 class Forest:
@@ -222,30 +281,33 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = saved(describe(docs, shingle_order(docs, words), words, percent), "sets")
+    known = saved(describe(docs, words), "sets")
     points = known.where("n > 0 and doc_id is not null")
-    reps = points.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("r"))
-    reps = reps.select("s1", "s2", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.prefix").alias("prefix"))
-    held = reps.select("rep", "n", F.explode("prefix").alias("h"))
-    pivots = held.groupBy("h").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("last > pivot").select("h", "pivot")
-    regions = saved(held.join(pivots, "h").select("pivot", "rep", "n").distinct(), "regions")
+    reps = points.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    shared = docs.mapInArrow(_parts(words, percent, partitions(spark)), "shard int, blob binary").groupBy("shard").applyInArrow(_meet(percent), "pivot long, rep long, n long, parts long")
+    met = saved(shared.groupBy("pivot", "rep").agg(F.max("n").alias("n"), F.sum("parts").alias("parts")), "met")
+    # Regions whose pivots are near each other become one, so that a text of a dense group is sent once, not once per pivot.
+    near = met.where(F.col("parts") >= NEAR_PARTS).where("rep != pivot").join(met.select(F.col("pivot").alias("rep")).distinct().hint("merge"), "rep", "left_semi")
+    merged = components(near.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("pivot"), "component")
+    regions = met.join(merged.hint("merge"), "pivot", "left").groupBy(F.coalesce("component", "pivot").alias("pivot"), "rep").agg(F.max("n").alias("n"))
+    regions = saved(regions, "regions")
     blocks = regions.groupBy("pivot").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("g"))
     block = F.pmod(F.xxhash64("rep"), F.col("g"))
-    placed = regions.join(blocks, "pivot").select("pivot", "rep", block.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("o"))
+    placed = regions.join(blocks.hint("merge"), "pivot").select("pivot", "rep", block.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("o"))
     placed = placed.select("pivot", "rep", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
-    texts = docs.join(placed, docs["doc_id"] == placed["rep"]).select("pivot", "bi", "bj", "rep", "text")
+    texts = docs.join(placed.hint("shuffle_hash"), docs["doc_id"] == placed["rep"]).select("pivot", "bi", "bj", "rep", "text")
     dealt = texts.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj", "rep")
     links = dealt.mapInArrow(_join(words, percent), "a long, b long")
     classes = components(links).select(F.col("node").alias("rep"), "component")
-    named = reps.select("s1", "s2", "rep").join(classes, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    found = known.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
+    named = reps.select("s1", "s2", "rep").join(classes.hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    found = known.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, whole: of each class the document of smallest doc_id, once."""
     gone = jaccard_classes(docs, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    kept = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone"], "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

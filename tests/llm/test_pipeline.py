@@ -14,7 +14,7 @@ def test_stages(spark, tmp_path):
         (100, texts[0][1], "x"),
         (101, texts[1][1].replace(" ", "  ", 3) + " more", "y"),
         (102, texts[2][1] + " " + item, "x"),
-        (103, texts[3][1] + " password=abcdefghijklmnop", "y"),
+        (103, " ".join(rng.choice(words["y"]) for _ in range(120)) + " password=abcdefghijklmnop", "y"),
         (104, "123 456", None),
         (105, None, None),
     ]

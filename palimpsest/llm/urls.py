@@ -77,6 +77,17 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count:
     return rules.select("items", (F.col("n") / F.col("freq")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
 
 
+#: Copies of the small side of a look-up, so that the rows of one hot host are dealt to as many tasks.
+SALT = 32
+
+
+def _looked_up(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of side (one row per key), hot keys dealt out by page_id."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int"))
+    return salted.join(side.withColumn("salt", salts), [key, "salt"], "left").drop("salt")
+
+
 def judge(urls: DataFrame, fixed: DataFrame, mined: DataFrame) -> DataFrame:
     """urls: page_id, url. Returns page_id, host, path, rule (host/path of the fixed rule, or null), verdict,
     confidence (of the best mined rule that fits, or null)."""
@@ -88,12 +99,12 @@ def judge(urls: DataFrame, fixed: DataFrame, mined: DataFrame) -> DataFrame:
     index = index.join(common, "token").groupBy("r").agg(F.min_by("token", F.struct("count", "token")).alias("token"), F.first("items").alias("items"), F.first("confidence").alias("confidence"))
     hit = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("items", "tokens")) == 0)
     hit = hit.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
-    seen = seen.join(hit, "tokens", "left").drop("tokens")
+    seen = _looked_up(seen, hit, "tokens").drop("tokens")
     # Fixed rules: a host suffix equals the rule's host, the path starts with the rule's path. Few distinct hosts need a look-up.
     rules = fixed.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     hosts = seen.select("host", F.explode(suffixes(F.col("host"))).alias("rule_host")).distinct()
     of_host = hosts.join(rules, "rule_host").groupBy("host").agg(F.collect_set(F.struct((F.length("rule_host") + F.length("rule_path")).alias("size"), F.col("rule_verdict").alias("verdict"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_path").alias("path"))).alias("rules"))
-    seen = seen.join(of_host, "host", "left")
+    seen = _looked_up(seen, of_host, "host")
     fits = F.filter("rules", lambda r: F.col("path").startswith(r["path"]))
     best = F.element_at(F.array_sort(fits, lambda a, b: F.when(a["size"] != b["size"], b["size"] - a["size"]).when(a["verdict"] < b["verdict"], -1).when(a["verdict"] > b["verdict"], 1).otherwise(0)), 1)
     out = seen.withColumn("best", F.when(F.size(F.coalesce(fits, F.array().cast("array<struct<size:int,verdict:string,rule:string,path:string>>"))) > 0, best))

@@ -120,4 +120,34 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_url_rules": op7_url_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_url_rules": r"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '^(?s:.*?)://[^/?#]*(/[^?#]*)', 1) ELSE '' END AS path FROM pages),
+raw_ AS (
+  SELECT page_id, 'label=' AS kind, unnest(string_split(host, '.')) AS x FROM p
+  UNION ALL SELECT page_id, 'dir=', unnest(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/')) FROM p
+  UNION ALL SELECT page_id, 'ext=', regexp_extract(path, '\.([A-Za-z0-9]+)$', 1) FROM p
+  UNION ALL SELECT page_id, 'key=', string_split(k, '=')[1] FROM (SELECT page_id, unnest(string_split(regexp_extract(url, '\?([^#]*)', 1), '&')) AS k FROM p) q),
+token AS (SELECT DISTINCT page_id, kind || x AS t FROM raw_ JOIN p USING (page_id) WHERE x <> '' AND host <> ''),
+known AS (SELECT p.page_id, quality = 0 OR toxic = 1 AS blocked FROM p JOIN labels ON doc_id = p.page_id WHERE (quality = 0 OR toxic = 1) IS NOT NULL),
+item AS (SELECT token.page_id, t, blocked FROM token JOIN known USING (page_id)),
+combo AS (
+  SELECT t AS a, NULL AS b, NULL AS c, blocked FROM item
+  UNION ALL SELECT x.t, y.t, NULL, x.blocked FROM item x JOIN item y ON x.page_id = y.page_id AND x.t < y.t
+  UNION ALL SELECT x.t, y.t, z.t, x.blocked FROM item x JOIN item y ON x.page_id = y.page_id AND x.t < y.t JOIN item z ON x.page_id = z.page_id AND y.t < z.t),
+rule AS (
+  SELECT a, b, c, count(*) FILTER (WHERE blocked) / count(*) AS confidence FROM combo GROUP BY a, b, c
+  HAVING count(*) FILTER (WHERE blocked) >= greatest(0.005 * (SELECT count(*) FROM known), 20) AND count(*) FILTER (WHERE blocked) / count(*) >= 0.6),
+hit AS (
+  SELECT x.page_id, max(confidence) AS confidence FROM token x JOIN rule ON rule.a = x.t
+  LEFT JOIN token y ON y.page_id = x.page_id AND y.t = rule.b LEFT JOIN token z ON z.page_id = x.page_id AND z.t = rule.c
+  WHERE (rule.b IS NULL OR y.t IS NOT NULL) AND (rule.c IS NULL OR z.t IS NOT NULL) GROUP BY x.page_id),
+fixed(verdict, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+best AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS verdict
+  FROM p JOIN fixed ON (host = h OR suffix(host, '.' || h)) AND prefix(path, q) GROUP BY page_id)
+SELECT p.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.rule, coalesce(best.verdict, CASE WHEN hit.confidence IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, hit.confidence
+FROM p LEFT JOIN best USING (page_id) LEFT JOIN hit USING (page_id)""",
+}

@@ -358,4 +358,19 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+first_ AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, i FROM win JOIN first_ USING (s) WHERE f < doc_id),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit)),
+span AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, run),
+gap AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+  UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN gap.b IS NULL THEN substr(h, 2 * gap.a + 1) ELSE substr(h, 2 * gap.a + 1, 2 * (gap.b - gap.a)) END, '' ORDER BY gap.a) AS h FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+total AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(total.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(total.k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: words in lower case without punctuation, with typed placeholders for numbers, for units that
-follow a number, and for names (capitalised words inside a sentence, a run of them as one). Windows of WORDS template
+follow a number, and for names (capitalised words inside a sentence, a run of them as one; a second form keeps names as
+words, for texts whose capitals were changed). Windows of WORDS template
 tokens of all documents are hash-joined to those of the benchmark. Hits of a document on an item are then aligned, and
 the values in the slots are checked: one value of the item must always stand for one value of the document and the
 other way round. Windows that break this do not count. An item is found in a document if the windows that count cover
@@ -72,7 +73,8 @@ class Templates:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def templates(texts: pa.LargeStringArray) -> Templates:
+def templates(texts: pa.LargeStringArray, names: bool = True) -> Templates:
+    """names: capitalised words inside a sentence become placeholders."""
     data, offsets = text_buffer(texts)
     inner = _INNER[data]
     digit = _DIGIT[data]
@@ -109,7 +111,8 @@ def templates(texts: pa.LargeStringArray) -> Templates:
         texts_start = np.searchsorted(start, offsets[:-1])
         inside[texts_start[texts_start < len(start)]] = False
         upper = capital[start] | accented[np.minimum(start + 1, len(data) - 1)] & (end - start > 1)
-        kind[upper & inside & (kind == LITERAL)] = NAME
+        if names:
+            kind[upper & inside & (kind == LITERAL)] = NAME
         kind[texts_start[texts_start < len(start)]] *= kind[texts_start[texts_start < len(start)]] != UNIT
         run = np.zeros(len(start), np.bool_)  # a name after a name is part of it
         run[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
@@ -131,11 +134,26 @@ def template_windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Benchmark:
-    """A block of items, indexed by template windows."""
+    """A block of items, indexed by template windows with names as placeholders, and with names as words in lower case."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = ids
-        self.t = t = templates(pa.array(texts, pa.large_string()))
+        self.forms = [_Form(texts, names) for names in (True, False)]
+
+    def find(self, texts: pa.LargeStringArray) -> list[tuple[int, int, int, bool]]:
+        """(text, item, percent of the item's tokens that is covered, reparameterised) of all that reach LEAST."""
+        best: dict[tuple[int, int], tuple[int, bool]] = {}
+        for form in self.forms:
+            for doc, item, percent, other in form.find(texts):
+                # An item that is there with its own values is not reparameterised.
+                best[doc, item] = max(best.get((doc, item), (0, True)), (percent, other), key=lambda x: (not x[1], x[0]))
+        return sorted((*k, *v) for k, v in best.items())
+
+
+class _Form:
+    def __init__(self, texts: list[str], names: bool):
+        self.names = names
+        self.t = t = templates(pa.array(texts, pa.large_string()), names)
         size = np.diff(t.bounds)
         self.size = size
         parts = []
@@ -155,7 +173,7 @@ class Benchmark:
         """(text, item, percent of the item's tokens that is covered, reparameterised) of all that reach LEAST."""
         if not len(self.h):
             return []
-        t = templates(texts)
+        t = templates(texts, self.names)
         hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
         for n in self.lengths:
             h, at = template_windows(t, n)

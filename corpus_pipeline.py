@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again for the next.
 
 1. language id: documents whose language is rejected go. Learned from the documents that are not held out.
-2. n-gram join: of each class of near-duplicate documents the one of smallest doc_id stays.
+2. n-gram join: of each class of near-duplicate documents (five-word shingles, similarity 0.8 or more) the one of smallest
+   doc_id stays.
 3. decontamination: documents that hold a benchmark item, with its own or with other values, go.
 4. secrets: each secret in a text is replaced by a mark of its kind; no document goes.
 5. packing: what is left is tokenised and packed into windows.
@@ -22,7 +23,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, words=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

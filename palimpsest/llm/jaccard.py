@@ -10,7 +10,8 @@ distance from it lies in the window [a - r, a + r], r = 1 - similarity.
    ring apart, so each set stands in its own ring and in the window of the next. In a ring the shingles are dealt
    by hash into parts, one more than linked sets can differ by shingles. The difference of two sets is the sum of
    their differences over the parts, so linked sets are at distance 0 in one part at least: they share that part's
-   region. Of the sets there the one of smallest id is the pivot document, and the others fall in its region. Pivots that
+   region. Below 0.9 many parts are empty and would put unlike sets in one region, so there are as many parts more as sets of the
+   ring may have empty ones: a set with no more than these shares a part that is not empty, and leaves its empty ones out. Of the sets there the one of smallest id is the pivot document, and the others fall in its region. Pivots that
    share several parts are near each other, and their regions become one.
 3. A region joins recursively: pivots far from each other, nearest-pivot (Voronoi) cells, each widened by the
    window of 2 r that the triangle inequality gives, until a cell is small or no longer shrinks; then all its
@@ -134,12 +135,19 @@ def _parts(words: int, percent: int, shards: int):
                 for ring in (home, home + 1):
                     most = np.ceil(np.exp((ring + 1) * width)).astype(np.int64) + 1
                     m = 2 * most * (100 - percent) // (100 + percent) + 1
+                    least = np.exp((ring - 1) * width)
+                    spare = np.rint(4 * m * (1 - 1 / m) ** least).astype(np.int64) * (m > 1)
+                    m = m + spare
                     start = np.cumsum(m) - m
                     at = start[owner] + (place * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
                     content = np.zeros(m.sum(), np.uint64)
                     np.add.at(content, at, value)
                     of = np.repeat(np.arange(len(n)), m)
                     number = (np.arange(len(of)) - start[of]).astype(np.uint64)
+                    void = np.ones(len(of), np.bool_)
+                    void[at] = False
+                    sent = ~(void & (np.bincount(of, void, len(n)) <= spare)[of])
+                    content, of, number = content[sent], of[sent], number[sent]
                     sigs.append(combine(content, number, ring[of].astype(np.uint64)) & ~np.uint64(255) | ring[of].astype(np.uint64) & np.uint64(255))
                     docs.append(doc[of])
                     names.append(name[of])

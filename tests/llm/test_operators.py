@@ -77,6 +77,25 @@ def test_jaccard_is_exact(docs, empty):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_jaccard_is_exact_below_0_9(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(150):
+        words = [str(rng.randrange(10_000)) for _ in range(rng.choice([3, 5, 6, 8, 12, 20, 40, 90]))]
+        for _ in range(3):
+            other = [str(rng.randrange(10_000)) if rng.random() < 0.03 else w for w in words] + ["end"] * rng.randrange(2)
+            rows.append((len(rows), " ".join(other), None))
+    sets = [shingles(t, 5) for _, t, _ in rows]
+    want = list(range(len(rows)))
+    for i in want[:]:
+        for j in range(i):
+            if want[i] != want[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(frame(spark, rows), 5, 80).collect()}
+    assert got == dict(enumerate(want)) and 150 < len(set(want)) < 440
+
+
 def test_region_join_recurses(monkeypatch):
     rng = np.random.default_rng(0)
     monkeypatch.setattr(jaccard, "SMALL", 4)

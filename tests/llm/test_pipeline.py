@@ -35,3 +35,15 @@ def test_stages(spark, tmp_path):
     assert seen[0] == clean | {100, 101, 102, 103}
     assert seen[1] == clean | {102, 103} and seen[2] == clean | {103} == seen[3] == seen[4]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == seen[4]
+
+
+def test_near_copies_of_similarity_0_8_go(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    one, two, three = ([word() for _ in range(100)] for _ in range(3))
+    edited = [*one[:30], word(), *one[31:70], word(), *one[71:]]  # 5-word similarity 0.81, 3-word 0.88
+    longer = two + [word() for _ in range(20)]  # 0.83
+    apart = three + [word() for _ in range(30)]  # 0.76
+    rows = [(i, " ".join(t), "x") for i, t in enumerate([one, two, three, edited, longer, apart])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {0, 1, 2, 5}

@@ -7,9 +7,9 @@
    split by a hash of doc_id, so that a group of copies of any size is dealt out.
 3. Each shard builds an inverted index with BM25 weights from the document frequencies of all documents. A document
    of a window or more fills windows of its own; what is left of it joins the rest. Seeds, longest first, query
-   with their QUERY_TERMS rarest ids; unused neighbours, best first, fill the window. The last one is cut where
+   with all their ids; unused neighbours, best first, fill the window. The last one is cut where
    the window ends and its remainder goes back. Without neighbours the next unused document is taken. So only the last
-   window of a shard is not full.
+   window of a shard is not full. A seed sees its own shard only.
 
 Sequences are padded to the window, unless their length is a power of two.
 
@@ -34,8 +34,10 @@ from palimpsest.llm.tokens import WordTokenizer
 from palimpsest.llm.words import mix
 
 WINDOW, END_ID, VOCABULARY = 4096, 2, 1 << 16
-SHARD_TOKENS, ROUTES, QUERY_TERMS = 3_000_000, 1 << 14, 24
+SHARD_TOKENS, ROUTES = 3_000_000, 1 << 14
 K1, B = 1.2, 0.75
+#: Ids that more than one in so many documents of a shard hold are kept as whole rows of weights.
+DENSE = 8
 _PIECES = 16
 _KEPT: dict[str, WordTokenizer] = {}
 
@@ -109,21 +111,25 @@ class _Index:
         doc, term = key // VOCABULARY, key % VOCABULARY
         idf = np.log1p((total - held + 0.5) / (held + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / max(mean, 1)))
-        # A seed's query: its rarest ids.
-        bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
-        self.query = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = term[a:b]
-            self.query.append(own if b - a <= QUERY_TERMS else own[np.argpartition(-idf[own], QUERY_TERMS)[:QUERY_TERMS]])
+        self.query, self.bounds = term, np.searchsorted(doc, np.arange(len(docs) + 1))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.start = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
+        self.rows: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.diff(self.start) * DENSE > len(docs)).tolist():
+            a, b = self.start[t], self.start[t + 1]
+            self.rows[t] = np.zeros(len(docs))
+            self.rows[t][self.doc[a:b]] = self.weight[a:b]
 
     def scores(self, seed: int, n: int) -> np.ndarray:
+        """BM25 of all documents for all ids of the seed."""
         out = np.zeros(n)
-        for t in self.query[seed]:
-            a, b = self.start[t], self.start[t + 1]
-            out[self.doc[a:b]] += self.weight[a:b]
+        for t in self.query[self.bounds[seed] : self.bounds[seed + 1]].tolist():
+            if (row := self.rows.get(t)) is not None:
+                out += row
+            else:
+                a, b = self.start[t], self.start[t + 1]
+                out[self.doc[a:b]] += self.weight[a:b]
         return out
 
 

@@ -241,6 +241,25 @@ def test_packing_takes_neighbours():
     assert len({i % 2 for i in first}) == 1  # a window of like documents
 
 
+def test_packing_queries_with_all_ids():
+    rng = np.random.default_rng(2)
+    long = np.arange(100, 300)  # the seed: 24 rare ids, 176 others
+    docs = [long, np.concatenate([long[:12], np.arange(1000, 1188)]), np.concatenate([long[24:], np.arange(2000, 2020)])]
+    docs = [np.append(d, 2).astype(np.uint16) for d in docs + [rng.integers(3000, 3100, 150) for _ in range(40)]]
+    held = np.full(packing.VOCABULARY, 20, np.int64)
+    held[100:124] = 5
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    index = packing._Index(docs, held, 1000, mean)
+    counts = [collections.Counter(d.tolist()) for d in docs]
+    for seed in (0, 5):
+        want = []
+        for d, own in zip(docs, counts):
+            shared = [t for t in counts[seed] if t in own]
+            want.append(sum(np.log1p((1000 - held[t] + 0.5) / (held[t] + 0.5)) * own[t] * (packing.K1 + 1) / (own[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t in shared))
+        assert np.allclose(index.scores(seed, n), want)
+    assert index.rows and [i for i, *_ in packing.pack_shard(docs, held, 1000, mean, 402)][:2] == [0, 2]
+
+
 ITEM = "Tom bought 5 apples for Anna. How many apples does Anna have after 3 days, if Tom eats 2 apples a day?"
 
 

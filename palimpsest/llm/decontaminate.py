@@ -2,7 +2,8 @@
 
 Texts become templates: words in lower case without punctuation, with typed placeholders for numbers, for units that
 follow a number, and for names (capitalised words inside a sentence, a run of them as one; a second form keeps names as
-words, for texts whose capitals were changed). Windows of WORDS template
+words, for texts whose capitals were changed; a third takes words that begin a sentence as names too if capitalised, for
+names in that place). Windows of WORDS template
 tokens of all documents are hash-joined to those of the benchmark. Hits of a document on an item are then aligned, and
 the values in the slots are checked: one value of the item must always stand for one value of the document and the
 other way round. Windows that break this do not count. An item is found in a document if the windows that count cover
@@ -68,13 +69,14 @@ class Templates:
     kind: np.ndarray
     hash: np.ndarray  # of the token, a placeholder's by its kind
     bounds: np.ndarray  # of the texts in the tokens
+    head: np.ndarray  # whether the token begins a sentence
 
     def value(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def templates(texts: pa.LargeStringArray, names: bool = True) -> Templates:
-    """names: capitalised words inside a sentence become placeholders."""
+def templates(texts: pa.LargeStringArray, names: bool = True, heads: bool = False) -> Templates:
+    """names: capitalised words inside a sentence become placeholders; heads: those that begin one too."""
     data, offsets = text_buffer(texts)
     inner = _INNER[data]
     digit = _DIGIT[data]
@@ -98,6 +100,7 @@ def templates(texts: pa.LargeStringArray, names: bool = True) -> Templates:
     lower[accented] += 0x20
     h = hash_ranges(lower, start, end)
     kind = np.zeros(len(start), np.int8)
+    inside = np.ones(len(start), np.bool_)
     if len(start):
         kind[digit[start]] = NUMBER
         units = _unit_hashes()
@@ -106,23 +109,22 @@ def templates(texts: pa.LargeStringArray, names: bool = True) -> Templates:
         unit[0] = False
         kind[unit] = UNIT
         enders = np.concatenate([[0], np.cumsum(_ENDER[data], dtype=np.int64)])
-        inside = np.ones(len(start), np.bool_)
         inside[1:] = enders[start[1:]] == enders[end[:-1]]
         texts_start = np.searchsorted(start, offsets[:-1])
         inside[texts_start[texts_start < len(start)]] = False
         upper = capital[start] | accented[np.minimum(start + 1, len(data) - 1)] & (end - start > 1)
         if names:
-            kind[upper & inside & (kind == LITERAL)] = NAME
+            kind[upper & (inside | heads) & (kind == LITERAL)] = NAME
         kind[texts_start[texts_start < len(start)]] *= kind[texts_start[texts_start < len(start)]] != UNIT
         run = np.zeros(len(start), np.bool_)  # a name after a name is part of it
-        run[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
+        run[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & inside[1:]
         run[texts_start[texts_start < len(start)]] = False
         if run.any():
             keep = np.flatnonzero(~run)
             end = end[np.append(keep[1:], len(start)) - 1]
-            start, kind, h = start[keep], kind[keep], h[keep]
+            start, kind, h, inside = start[keep], kind[keep], h[keep], inside[keep]
     h = np.where(kind == LITERAL, h, _PLACE[kind])
-    return Templates(lower, start, end, kind, h, np.searchsorted(start, offsets))
+    return Templates(lower, start, end, kind, h, np.searchsorted(start, offsets), ~inside)
 
 
 def template_windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +136,12 @@ def template_windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Benchmark:
-    """A block of items, indexed by template windows with names as placeholders, and with names as words in lower case."""
+    """A block of items, indexed by template windows with names as placeholders, with names as words in lower case, and
+    with capitalised words that begin a sentence as placeholders too."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = ids
-        self.forms = [_Form(texts, names) for names in (True, False)]
+        self.forms = [_Form(texts, *form) for form in ((True, False), (False, False), (True, True))]
 
     def find(self, texts: pa.LargeStringArray) -> list[tuple[int, int, int, bool]]:
         """(text, item, percent of the item's tokens that is covered, reparameterised) of all that reach LEAST."""
@@ -151,9 +154,9 @@ class Benchmark:
 
 
 class _Form:
-    def __init__(self, texts: list[str], names: bool):
-        self.names = names
-        self.t = t = templates(pa.array(texts, pa.large_string()), names)
+    def __init__(self, texts: list[str], names: bool, heads: bool):
+        self.names, self.heads = names, heads
+        self.t = t = templates(pa.array(texts, pa.large_string()), names, heads)
         size = np.diff(t.bounds)
         self.size = size
         parts = []
@@ -173,7 +176,7 @@ class _Form:
         """(text, item, percent of the item's tokens that is covered, reparameterised) of all that reach LEAST."""
         if not len(self.h):
             return []
-        t = templates(texts, self.names)
+        t = templates(texts, self.names, self.heads)
         hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
         for n in self.lengths:
             h, at = template_windows(t, n)
@@ -203,7 +206,7 @@ class _Form:
         for shift, at, n in sorted(own):
             if shift != last:
                 there, back, last = {}, {}, shift
-            slots = [(int(self.t.kind[i]), self.t.value(i), t.value(i + shift)) for i in range(at, at + n) if self.t.kind[i] != LITERAL]
+            slots = [(int(self.t.kind[i]), *self._values(t, i, i + shift)) for i in range(at, at + n) if self.t.kind[i] != LITERAL]
             if all(there.get((k, x), y) == y and back.get((k, y), x) == x for k, x, y in slots) and len({(k, x) for k, x, _ in slots}) == len({(k, y) for k, _, y in slots}) == len(set(slots)):
                 for k, x, y in slots:
                     there[k, x], back[k, y] = y, x
@@ -212,6 +215,16 @@ class _Form:
         return covered, other
 
 
+    def _values(self, t: Templates, i: int, j: int) -> tuple[bytes, bytes]:
+        """Of a slot of the item and of the document. A name behind the same first word of a sentence stands alone."""
+        x, y = self.t.value(i), t.value(j)
+        if self.t.head[i] and t.head[j] and self.t.kind[i] == NAME:
+            (a, *rest), (b, *other) = x.split(None, 1), y.split(None, 1)
+            if a == b and rest and other:
+                return rest[0], other[0]
+        return x, y
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (percent), reparameterised."""
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")

@@ -285,6 +285,21 @@ def test_decontamination(spark, empty):
     assert decontaminate.find_contamination(d, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Anna has 3 apples. How many apples do Tom and Anna have together?"
+    only = "Tom has 5 red apples in a box. Anna takes 3 apples out of the box. How many apples are in the box?"
+    bench = spark.createDataFrame([(1, item), (2, only)], "item_id long, text string")
+    texts = [
+        item.replace("Tom", "Mary").replace("Anna", "Jane").replace("5", "8").replace("3", "6"),
+        "Read this. " + only.replace("Tom", "Mary").replace("Anna", "Jane").replace("5", "8"),
+        item,
+        "Mary has 5 apples. Jane has 3 apples. How many apples do Kate and Paul have together?",
+        "Jane has 5 pears. How many days has a week? Mary and Jane have 3 of them.",
+    ]
+    found = decontaminate.find_contamination(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), bench)
+    assert {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in found.collect()} == {(0, 1): True, (1, 2): True, (2, 1): False}
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body

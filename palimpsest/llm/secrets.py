@@ -4,10 +4,13 @@ scan_secrets(docs) finds spans in every whole text. Three base kinds are plain p
 candidates that are only reported once their structure is confirmed:
 
     jwt   three base64url parts; the first two decode to JSON objects, the first of which names an algorithm
-    pem   a PRIVATE KEY block whose body is base64 of a DER SEQUENCE with consistent nested lengths
+    pem   a PRIVATE KEY block whose body is base64 of a DER SEQUENCE with consistent nested lengths, or has header lines
+          that name a cipher and an initial value whose block size its length fits; or base64 of such a block
     ssh   base64 of an SSH key: length-prefixed fields that start with a known key type and fill the whole
     der   base64 or hex, outside PEM, of a DER SEQUENCE that starts with a version and fills the whole
 
+Base64 outside PEM may be in the url alphabet, and wrapped into lines.
+
 Spans are code points, end exclusive, by start and then by kind in the order of KINDS.
 
 Defined cases. Null text: empty, no spans. Repeated rows: each gets its row. Overlapping spans of different kinds
@@ -40,8 +43,13 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|MI|MH|MC|MF)[A-Za-z0-9+/]{20,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+_DEK = re.compile(r"^DEK-Info: *[A-Za-z0-9-]+, *((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
+# All beginnings of an SSH key, a DER SEQUENCE and a PEM block; then lines of either alphabet.
+_B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|M[A-I]|LS0tLS1)(?=[A-Za-z0-9+/_-]{20})")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_WRAP = re.compile(r"""["']?[ \t]*[+,\\]?[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*["']?(?=[A-Za-z0-9+/_-])""")
+_TAIL = re.compile(r"={1,2}|(?![A-Za-z0-9+/])")
 _HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
 # Names of SSH key types.
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -126,16 +134,68 @@ def is_signed_token(token: str) -> bool:
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
 
-def is_pem_key(label: str, body: str) -> bool:
-    raw = decoded("".join(body.split()))
+def is_pem_key(label: str, headers: str, body: str) -> bool:
+    raw = decoded(re.sub(r"\\[rn]|\s", "", body))
     if raw is None:
         return False
+    if "ENCRYPTED" in headers and (dek := _DEK.search(headers)):
+        return len(raw) >= 32 and len(raw) % (len(dek[1]) // 2) == 0
     if label == "OPENSSH PRIVATE KEY":
         return raw.startswith(b"openssh-key-v1\0")
     top = der_element(raw, 0, len(raw))
     return is_key_der(raw) or label == "ENCRYPTED PRIVATE KEY" and bool(top) and top[0] == 0x30 and top[2] == len(raw)
 
 
+def _lines(text: str, at: int, most: float = float("inf")) -> tuple[str, list[tuple[int, int]]]:
+    """Up to so many base64 characters from a position on, over line ends, and (characters so far, end in text) of each line."""
+    parts, ends, n = [], [], 0
+    while n < most and (m := _LINE.match(text, at)):
+        parts.append(m[0] if n + len(m[0]) <= most else m[0][: int(most) - n])
+        n += len(parts[-1])
+        ends.append((n, m.start() + len(parts[-1])))
+        if not (wrap := _WRAP.match(text, ends[-1][1])):
+            break
+        at = wrap.end()
+    return "".join(parts), ends
+
+
+def base64_secret(text: str, at: int) -> tuple[int, int] | None:
+    """(kind, end) of the secret whose base64 begins at a position, or None."""
+    head = decoded(text[at : at + 20], url=True)
+    if head is None:
+        return None
+    if head[0] == 0x30:  # its own length says where it ends
+        start = 2 + (head[1] & 0x7F if head[1] >= 0x80 else 0)
+        if start > 6 or head[start : start + 2] != b"\2\1":
+            return None
+        size = start + (int.from_bytes(head[2:start], "big") if start > 2 else head[1])
+        need = -(-4 * size // 3)
+        chars, ends = _lines(text, at, need)
+        if len(chars) < need or not (tail := _TAIL.match(text, ends[-1][1])):
+            return None
+        raw = decoded(chars, url=True)
+        return (6, tail.end()) if raw and is_key_der(raw) else None
+    if head.startswith(b"-----"):
+        chars, ends = _lines(text, at)
+        raw = (decoded(chars[: len(chars) - (len(chars) % 4 == 1)], url=True) or b"").decode("latin-1")
+        keys = [m.end() for m in _PEM.finditer(raw) if is_pem_key(m[1], m[2], m[3])]
+        if not keys:
+            return None
+        end = next(e for n, e in ends if n >= -(-4 * keys[-1] // 3))
+        return 4, end + len(re.compile("={0,2}").match(text, end)[0])
+    if not any(head[4:].startswith(t[: len(head) - 4]) for t in SSH_TYPES):
+        return None
+    chars, ends = _lines(text, at)
+    raw = decoded(chars[: len(chars) - (len(chars) % 4 == 1)], url=True) or b""
+    of, pos, found = dict(ends), 0, None
+    while pos + 4 <= len(raw):
+        pos += 4 + int.from_bytes(raw[pos : pos + 4], "big")
+        end = of.get(-(-4 * pos // 3))
+        if pos <= len(raw) and end and (tail := _TAIL.match(text, end)) and is_ssh_key(raw[:pos]):
+            found = (5, tail.end())
+    return found
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of every secret, in order."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN] if "=" in text or ":" in text else []
@@ -146,16 +206,15 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 3, m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
     pems = []
     if "PRIVATE KEY-----" in text:
-        pems = [(m.start(), m.end()) for m in _PEM.finditer(text) if is_pem_key(m[1], m[2])]
+        pems = [(m.start(), m.end()) for m in _PEM.finditer(text) if is_pem_key(m[1], m[2], m[3])]
         found += [(s, 4, e) for s, e in pems]
+    until = 0
     for m in _B64.finditer(text):
-        if any(s <= m.start() < e for s, e in pems):
+        if m.start() < until or any(s <= m.start() < e for s, e in pems):
             continue
-        raw = decoded(m[0])
-        if raw and is_ssh_key(raw):
-            found.append((m.start(), 5, m.end()))
-        elif raw and is_key_der(raw):
-            found.append((m.start(), 6, m.end()))
+        if secret := base64_secret(text, m.start()):
+            until = secret[1]
+            found.append((m.start(), *secret))
     found += [(m.start(), 6, m.end()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and is_key_der(bytes.fromhex(m[0]))]
     return sorted(found)
 

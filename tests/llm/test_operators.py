@@ -343,6 +343,31 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_in_every_encoding():
+    b64 = lambda x: base64.b64encode(x).decode()
+    wrap = lambda x, n=64: "\n".join(x[k : k + n] for k in range(0, len(x), n))
+    ec = lambda oid, n: der(0x30, der(2, b"\0") + der(0x30, oid) + der(4, der(0x30, der(2, b"\1") + der(4, bytes(range(n))))))
+    p256 = ec(bytes.fromhex("06072a8648ce3d020106082a8648ce3d030107"), 32)
+    k256 = ec(bytes.fromhex("06072a8648ce3d020106052b8104000a"), 32)
+    ed448 = der(0x30, der(2, b"\0") + der(0x30, bytes.fromhex("06032b6571")) + der(4, der(4, bytes(57))))
+    assert [b64(x)[:8] for x in (p256, k256, ed448)] == ["MEECAQAw", "MD4CAQAw", "MEcCAQAw"]
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrap(b64(KEY))}\n-----END PRIVATE KEY-----\n"
+    high = der(0x30, der(2, b"\0") + der(0x30, b"\5\0") + der(4, bytes(range(255, 50, -1))))  # + and / in base64
+    url = base64.urlsafe_b64encode(high).decode().rstrip("=")
+    assert "-" in url and "_" in url
+    locked = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END RSA PRIVATE KEY-----".format("0A" * 16, wrap(b64(bytes(range(64)))))
+    plain = pem.replace("-----\n", "-----\nComment: x,y-z\n\n", 1).strip()
+    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-rsa", b"\1\0\1", bytes(range(1, 250))))
+    whole = [(x, k) for x, k in [(b64(p256), "der"), (b64(k256), "der"), (b64(ed448), "der"), (wrap(b64(KEY)), "der"), (wrap(b64(KEY)).replace("\n", "\r\n  "), "der"), (url, "der"), (wrap(url), "der"), (b64(pem.encode()), "pem"), (wrap(b64(pem.encode()), 76), "pem"), (locked, "pem"), (plain, "pem"), (pem.strip().replace("\n", "\\n"), "pem"), (wrap(b64(ssh), 70), "ssh")]]
+    for x, kind in whole:
+        for before, after in (("", ""), ("key: ", "\nand words"), ("'", "', x")):
+            found = [(secrets.KINDS[k], s, e) for s, k, e in secrets.spans_of(before + x + after) if k > 2]
+            assert found == [(kind, len(before), len(before + x))], (x, found)
+    cut = b64(p256)[:-5] + "AAAAA"
+    for x in (b64(p256[:-1]), cut[:40], b64(p256).rstrip("=") + "AAAA", b64(pem.replace("PRIVATE", "PUBLIC").encode()), locked.replace("0A" * 16, "0A" * 3), wrap(b64(ssh)[:-8])):
+        assert [k for _, k, _ in secrets.spans_of(x) if k > 2] == [], x
+
+
 def test_chat(spark):
     rows = [
         (1, 0, "system", "be \\ nice </s>", 9),

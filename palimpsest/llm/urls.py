@@ -29,7 +29,8 @@ FIXED_RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Share of labelled urls, and their number, that must hold a rule's tokens and the verdict.
+#: Share of labelled urls, and their number, that must hold a rule's tokens and the verdict; MAX_TOKENS is mine_rules'
+#: default only, the query has no limit.
 MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 20, 0.6, 3
 
 
@@ -64,13 +65,17 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.when(host != "", F.array_sort(F.array_distinct(every))), F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """labelled: url, blocked boolean. Returns items array<string>, confidence and n (labelled urls) of {items} -> block."""
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int | None = MAX_TOKENS) -> DataFrame:
+    """labelled: url, blocked boolean. Returns items array<string>, confidence and n (labelled urls) of {items} -> block.
+    max_tokens: of a rule; None is no limit."""
     verdict = F.array(F.when(F.col("blocked"), "verdict=block").otherwise("verdict=allow"))
     baskets = labelled.where("blocked is not null").select(F.concat(tokens_of(F.col("url")), verdict).alias("items"))
     n = baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / max(n, 1)))).fit(baskets)
-    found = model.freqItemsets.where(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq")
+    found = model.freqItemsets
+    if max_tokens is not None:
+        found = found.where(F.size("items") <= max_tokens + 1)
+    found = found.select(F.array_sort("items").alias("items"), "freq")
     block = F.array_contains("items", "verdict=block")
     both = found.where(block & (F.size("items") > 1)).select(F.array_remove("items", "verdict=block").alias("items"), F.col("freq").alias("n"))
     rules = both.join(found.where(~block), "items")
@@ -116,7 +121,7 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     fixed = literal_table(spark, ("verdict", "host", "path"), FIXED_RULES)
-    return judge(pages, fixed, mine_rules(pages.join(labels, "page_id")))
+    return judge(pages, fixed, mine_rules(pages.join(labels, "page_id"), max_tokens=None))
 
 
 QUERIES = {"op7_url_rules": op7_url_rules}

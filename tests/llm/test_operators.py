@@ -449,3 +449,25 @@ def test_urls(spark):
         assert (got[i]["rule"], got[i]["verdict"]) == ((best[1], best[0]) if best else (None, "block" if mine else "allow")), (i, u)
     none = urls.mine_rules(labelled.limit(0))
     assert none.count() == 0 and {r["verdict"] for r in urls.judge(p, fixed.limit(0), none).collect()} == {"allow"}
+
+
+def test_url_rule_of_four_tokens(spark, tmp_path):
+    import itertools
+
+    kinds = [("abcd", 1)] * 25 + [("".join(c), 0) for c in itertools.combinations("abcd", 3)] * 40 + [("xyz", 0)] * 100
+    pages = [(i, "http://h.info/" + "/".join(k), bad) for i, (k, bad) in enumerate(kinds)] + [(900, "http://h.info/d/c/b/a", None), (901, "http://h.info/a/b/c", None)]
+    spark.createDataFrame([p[:2] for p in pages], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1, bad) for i, _, bad in pages if bad is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n, both = collections.Counter(), collections.Counter()
+    for _, url, bad in pages:
+        tokens = sorted({"label=h", "label=info", *(f"dir={x}" for x in url.split("/")[3:])})
+        for k in range(1, len(tokens) + 1) if bad is not None else ():
+            for c in itertools.combinations(tokens, k):
+                n[c] += 1
+                both[c] += bad
+    want = {c: both[c] / n[c] for c in both if both[c] >= urls.MIN_COUNT and both[c] / n[c] >= urls.MIN_CONFIDENCE}
+    assert want and min(map(len, want)) == 4
+    labelled = spark.createDataFrame([(u, bool(bad)) for _, u, bad in pages if bad is not None], "url string, blocked boolean")
+    assert {tuple(r["items"]): r["confidence"] for r in urls.mine_rules(labelled, max_tokens=None).collect()} == want
+    got = {r["page_id"]: r["verdict"] for r in urls.op7_url_rules(spark, str(tmp_path)).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {*range(25), 900}

@@ -6,10 +6,13 @@ candidates that are only reported once their structure is confirmed:
     jwt   three base64url parts; the first two decode to JSON objects, the first of which names an algorithm
     pem   a PRIVATE KEY block whose body is base64 of a DER SEQUENCE with consistent nested lengths, or has header lines
           that name a cipher and an initial value whose block size its length fits; or base64 of such a block
-    ssh   base64 of an SSH key: length-prefixed fields that start with a known key type and fill the whole
+    ssh   base64 or hex of an SSH key: length-prefixed fields that start with a known key type and fill the whole, or an
+          openssh-key-v1 container: cipher, derivation, public keys that parse, and a padded private part that fills the rest
     der   base64 or hex, outside PEM, of a DER SEQUENCE that starts with a version and fills the whole
 
-Base64 outside PEM may be in the url alphabet, and wrapped into lines.
+Base64 outside PEM may be in the url alphabet, and wrapped into lines. A run of base64 is a candidate wherever its first
+bytes can be those of one of these structures; that excludes no structure, as all have fixed first bytes. An OpenSSH
+PEM block must hold such a container.
 
 Spans are code points, end exclusive, by start and then by kind in the order of KINDS.
 
@@ -45,12 +48,14 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
 _DEK = re.compile(r"^DEK-Info: *[A-Za-z0-9-]+, *((?:[0-9A-Fa-f]{16}){1,2})\s*$", re.MULTILINE)
-# All beginnings of an SSH key, a DER SEQUENCE and a PEM block; then lines of either alphabet.
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|M[A-I]|LS0tLS1)(?=[A-Za-z0-9+/_-]{20})")
+# All beginnings of an SSH key, its container, a DER SEQUENCE and a PEM block; then lines of either alphabet.
+_B64 = re.compile(r"(?<![A-Za-z0-9+/])(?:AAAA|b3BlbnNza|M[A-I]|LS0tLS1)(?=[A-Za-z0-9+/_-]{16})")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 _WRAP = re.compile(r"""["']?[ \t]*[+,\\]?[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*["']?(?=[A-Za-z0-9+/_-])""")
 _TAIL = re.compile(r"={1,2}|(?![A-Za-z0-9+/])")
-_HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
+# The same beginnings in hex.
+_HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|2[dD]2[dD]2[dD]2[dD]2[dD]|6[fF]70656[eE]737368|000000)[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
+_OPENSSH = b"openssh-key-v1\0"
 # Names of SSH key types.
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
@@ -125,6 +130,41 @@ def is_ssh_key(raw: bytes) -> bool:
     return fields >= 2
 
 
+def ssh_field(raw: bytes, at: int) -> tuple[bytes, int] | None:
+    """(content, end) of the length-prefixed field at a position, if it fits."""
+    end = at + 4 + int.from_bytes(raw[at : at + 4], "big")
+    return (raw[at + 4 : end], end) if at + 4 <= len(raw) and end <= len(raw) else None
+
+
+def openssh_end(raw: bytes) -> int | None:
+    """Where the openssh-key-v1 container at the start of raw ends, if all its fields are consistent."""
+    if not raw.startswith(_OPENSSH):
+        return None
+    at, head = len(_OPENSSH), []
+    for _ in range(3):  # cipher, derivation and its options
+        if not (field := ssh_field(raw, at)):
+            return None
+        head.append(field[0])
+        at = field[1]
+    n, at = int.from_bytes(raw[at : at + 4], "big"), at + 4
+    open_ = head[0] == b"none"
+    if not 1 <= n <= len(raw) // 4 or not head[0] or (head[1] == b"none") != open_ or bool(head[2]) == open_:
+        return None
+    for _ in range(n):
+        field = ssh_field(raw, at)
+        if not field or not is_ssh_key(field[0]):
+            return None
+        at = field[1]
+    private = ssh_field(raw, at)
+    if not private or len(private[0]) < 16 or len(private[0]) % 8:
+        return None
+    if open_:
+        kind = ssh_field(private[0], 8)
+        if private[0][:4] != private[0][4:8] or not kind or kind[0] not in SSH_TYPES:
+            return None
+    return private[1]
+
+
 def is_signed_token(token: str) -> bool:
     head, body, _ = token.split(".")
     try:
@@ -141,7 +181,7 @@ def is_pem_key(label: str, headers: str, body: str) -> bool:
     if "ENCRYPTED" in headers and (dek := _DEK.search(headers)):
         return len(raw) >= 32 and len(raw) % (len(dek[1]) // 2) == 0
     if label == "OPENSSH PRIVATE KEY":
-        return raw.startswith(b"openssh-key-v1\0")
+        return openssh_end(raw) == len(raw)
     top = der_element(raw, 0, len(raw))
     return is_key_der(raw) or label == "ENCRYPTED PRIVATE KEY" and bool(top) and top[0] == 0x30 and top[2] == len(raw)
 
@@ -159,6 +199,24 @@ def _lines(text: str, at: int, most: float = float("inf")) -> tuple[str, list[tu
     return "".join(parts), ends
 
 
+def _pem_end(raw: bytes) -> int | None:
+    """Where the last PEM block of a private key in raw ends."""
+    ends = [m.end() for m in _PEM.finditer(raw.decode("latin-1")) if is_pem_key(m[1], m[2], m[3])]
+    return ends[-1] if ends else None
+
+
+def hex_secret(digits: str) -> int | None:
+    """The kind of the secret that a run of hex digits holds, or None."""
+    if len(digits) % 2:
+        return None
+    raw = bytes.fromhex(digits)
+    if raw.startswith(b"-----"):
+        return 4 if _pem_end(raw) else None
+    if raw[0] == 0x30:
+        return 6 if is_key_der(raw) else None
+    return 5 if openssh_end(raw) == len(raw) or is_ssh_key(raw) else None
+
+
 def base64_secret(text: str, at: int) -> tuple[int, int] | None:
     """(kind, end) of the secret whose base64 begins at a position, or None."""
     head = decoded(text[at : at + 20], url=True)
@@ -177,12 +235,17 @@ def base64_secret(text: str, at: int) -> tuple[int, int] | None:
         return (6, tail.end()) if raw and is_key_der(raw) else None
     if head.startswith(b"-----"):
         chars, ends = _lines(text, at)
-        raw = (decoded(chars[: len(chars) - (len(chars) % 4 == 1)], url=True) or b"").decode("latin-1")
-        keys = [m.end() for m in _PEM.finditer(raw) if is_pem_key(m[1], m[2], m[3])]
-        if not keys:
+        last = _pem_end(decoded(chars[: len(chars) - (len(chars) % 4 == 1)], url=True) or b"")
+        if not last:
             return None
-        end = next(e for n, e in ends if n >= -(-4 * keys[-1] // 3))
+        end = next(e for n, e in ends if n >= -(-4 * last // 3))
         return 4, end + len(re.compile("={0,2}").match(text, end)[0])
+    if head.startswith(_OPENSSH[: len(head)]):
+        chars, ends = _lines(text, at)
+        stop = openssh_end(decoded(chars[: len(chars) - (len(chars) % 4 == 1)], url=True) or b"")
+        end = dict(ends).get(-(-4 * stop // 3)) if stop else None
+        tail = _TAIL.match(text, end) if end else None
+        return (5, tail.end()) if tail else None
     if not any(head[4:].startswith(t[: len(head) - 4]) for t in SSH_TYPES):
         return None
     chars, ends = _lines(text, at)
@@ -215,7 +278,7 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
         if secret := base64_secret(text, m.start()):
             until = secret[1]
             found.append((m.start(), *secret))
-    found += [(m.start(), 6, m.end()) for m in _HEXDER.finditer(text) if len(m[0]) % 2 == 0 and is_key_der(bytes.fromhex(m[0]))]
+    found += [(m.start(), kind, m.end()) for m in _HEXKEY.finditer(text) if (kind := hex_secret(m[0])) is not None]
     return sorted(found)
 
 
@@ -265,5 +328,33 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan}
-ORACLE_SQL: dict[str, str] = {}
+def secret_base_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5_secret_scan that SQL can express."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256")
+
+
+QUERIES = {"op5_secret_scan": op5_secret_scan, "secret_base_kinds": secret_base_kinds}
+# Matches are put between marks that no text holds, so that positions follow from the lengths of the pieces.
+ORACLE_SQL = {
+    "secret_base_kinds": r"""
+WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(1), ' '), chr(2), ' ') AS t FROM documents),
+marked AS (
+  SELECT doc_id, 0 AS k, 'assign' AS kind, regexp_replace(t, '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(2), 'g') AS m FROM d
+  UNION ALL SELECT doc_id, 1, 'access', regexp_replace(t, '(AKIA[A-Z0-9]+)', chr(1) || '\1' || chr(2), 'g') FROM d
+  UNION ALL SELECT doc_id, 2, 'hex', regexp_replace(t, '([0-9a-f]+)', chr(1) || '\1' || chr(2), 'g') FROM d),
+piece AS (SELECT doc_id, k, kind, string_split(m, chr(1)) AS p FROM marked WHERE contains(m, chr(1))),
+one AS (SELECT doc_id, k, kind, i, p[i] AS x, p FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM piece)),
+placed AS (
+  SELECT doc_id, k, kind, i, string_split(x, chr(2))[1] AS hit,
+    CAST(sum(length(replace(x, chr(2), ''))) OVER (PARTITION BY doc_id, k ORDER BY i) - length(replace(x, chr(2), '')) AS BIGINT) AS a
+  FROM one),
+kept AS (
+  SELECT *, a + length(hit) AS b FROM placed WHERE i > 1 AND CASE k
+    WHEN 0 THEN length(regexp_extract(hit, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 12
+    WHEN 1 THEN length(hit) >= 18 ELSE length(hit) >= 16 END),
+total AS (
+  SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM kept GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM documents LEFT JOIN total USING (doc_id)""",
+}

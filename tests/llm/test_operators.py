@@ -337,6 +337,8 @@ def test_secrets(spark, empty):
     assert [k for k, *_ in got[7]] == ["ssh"]
     assert [k for k, *_ in got[8] if k != "hex"] == ["der", "der"]
     assert got[9] == got[10] == [] and [k for k, *_ in got[11]] == ["hex"]
+    twice = secrets.scan_secrets(d.unionByName(d)).collect()
+    assert sorted((r["doc_id"], str(r["spans"])) for r in twice) == sorted((r["doc_id"], str(r["spans"])) for r in secrets.scan_secrets(d).collect() for _ in range(2))
     clean = {r["doc_id"]: r for r in secrets.redact_secrets(d).collect()}
     assert clean[0]["text"] == "é [assign removed] [assign removed]' secret=short" and clean[0]["n_chars"] == len(clean[0]["text"])
     assert clean[2]["text"] == texts[2] and clean[9]["text"] is None
@@ -364,6 +366,20 @@ def test_secrets_in_every_encoding():
             found = [(secrets.KINDS[k], s, e) for s, k, e in secrets.spans_of(before + x + after) if k > 2]
             assert found == [(kind, len(before), len(before + x))], (x, found)
     cut = b64(p256)[:-5] + "AAAAA"
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    private = b"abcdabcd" + public + field(bytes(64)) + field(b"me@host")
+    private += bytes(range(1, 9 - len(private) % 8)) if len(private) % 8 else b""
+    box = lambda cipher, kdf, options, inner: b"openssh-key-v1\0" + field(cipher) + field(kdf) + field(options) + (1).to_bytes(4, "big") + field(public) + field(inner)
+    opened, sealed = box(b"none", b"none", b"", private), box(b"aes256-ctr", b"bcrypt", field(bytes(16)) + bytes(4), bytes(64))
+    block = lambda x: f"-----BEGIN OPENSSH PRIVATE KEY-----\n{wrap(b64(x), 70)}\n-----END OPENSSH PRIVATE KEY-----"
+    more = [(block(opened), "pem"), (block(sealed), "pem"), (b64(opened), "ssh"), (wrap(b64(sealed), 70), "ssh"), (opened.hex(), "ssh"), (SSH.hex().upper(), "ssh"), (pem.encode().hex(), "pem"), (p256.hex(), "der")]
+    for x, kind in more:
+        assert [(secrets.KINDS[k], s, e) for s, k, e in secrets.spans_of("a " + x + " b") if k > 2] == [(kind, 2, 2 + len(x))], x
+    junk = b"openssh-key-v1\0" + bytes(range(200))
+    uneven = box(b"none", b"none", b"", b"abcdabce" + private[8:])
+    for x in (block(junk), b64(junk), block(opened[:-8]), block(uneven), opened[:-1].hex(), b64(box(b"none", b"bcrypt", b"", private))):
+        assert [k for _, k, _ in secrets.spans_of(x) if k > 2] == [], x
     for x in (b64(p256[:-1]), cut[:40], b64(p256).rstrip("=") + "AAAA", b64(pem.replace("PRIVATE", "PUBLIC").encode()), locked.replace("0A" * 16, "0A" * 3), wrap(b64(ssh)[:-8])):
         assert [k for _, k, _ in secrets.spans_of(x) if k > 2] == [], x
 

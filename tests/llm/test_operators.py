@@ -407,15 +407,41 @@ def test_chat(spark):
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
-def test_licenses(spark, docs, empty):
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n"))
+
+
+def test_licenses(spark, empty):
     mit = next(t for i, t in licenses.KNOWN if i == "MIT")
-    d = frame(spark, [(0, "Copyright (c) 2020 Me\n\n" + mit.replace("copies", "COPIES").replace(". ", ".\n"), None), (1, "a\nreleased under the MIT licence", None), (2, None, None), (3, "©", None), (4, mit + " more", None)])
+    head = "Copyright (c) 2020 Me\n© 2021 You\nAll rights reserved.\n\n"
+    rows = [(0, head + mit.replace("copies", "COPIES").replace(". ", ".\n")), (1, "a\nreleased under the MIT licence"), (2, None), (3, "©"), (4, mit + " more"), (5, "gov. 2 of all.\n" + mit), (6, "x " * 100_000 + "\nReleased under CC0 1.0.\n(c) 2020 Us")]
+    d = frame(spark, [(i, t, None) for i, t in rows])
     got = {r["doc_id"]: r for r in licenses.scan_licenses(d).collect()}
     assert got[0]["license_id"] == "MIT" and got[1]["license_id"] is None and got[1]["line_licenses"] == ["MIT"]
-    assert got[2]["digest"] is None and got[3]["digest"] is None and got[4]["license_id"] is None
+    assert got[2]["digest"] is None and got[3]["digest"] is None and got[4]["license_id"] is None and got[5]["license_id"] is None
+    assert got[6]["line_licenses"] == ["CC0-1.0"]
     own = spark.createDataFrame([("Z", "A b!"), ("Y", "a  B")], "license_id string, text string")
-    assert licenses.scan_licenses(frame(spark, [(0, "a-b", None)]), own).first()["license_id"] == "Y"
-    assert licenses.scan_licenses(empty).count() == 0
+    few = frame(spark, [(0, "a-b", None), (0, "x\na b\n", None), (None, "a b", None), (None, None, None), (1, "", None)])
+    want = [("None", "Y", ["Y"]), ("None", None, []), ("0", "Y", ["Y"]), ("0", None, ["Y"]), ("1", None, [])]
+    found = [(str(r["doc_id"]), r["license_id"], r["line_licenses"]) for r in licenses.scan_licenses(few, own).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(empty, own).count() == 0
+
+
+def test_rows_of_one_doc_id_keep_their_own_licenses(spark):
+    d = frame(spark, [(2, "Released under CC0 1.0.", None), (2, "Released under the MIT License.", None), (None, "Released under the MIT License.\nx", None), (2, "Released under CC0 1.0.", None)])
+    assert sorted(str((r["doc_id"], r["line_licenses"])) for r in licenses.scan_licenses(d).collect()) == ["(2, ['CC0-1.0'])"] * 2 + ["(2, ['MIT'])", "(None, ['MIT'])"]
+
+
+def test_licenses_at_every_width(spark):
+    whole = [(i, t) for i, t in licenses.KNOWN if "\n" in t]
+    assert len({i for i, _ in whole}) >= 7 and len({i for i, *_ in licenses.DIGESTS}) >= 10
+    rows = [(k * 1000 + w, "Copyright 1999 Me\n\n" + wrapped(t, w), i) for k, (i, t) in enumerate(whole) for w in range(40, 101, 5)]
+    rows += [(90_000 + k, f"{title}\n\nCopyright (c) 2001, Me.\n\n" + wrapped(t, 72), i) for k, (i, title) in enumerate(licenses.TITLES) for j, t in whole if i == j]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {k: i for k, _, i in rows}
 
 
 def fixed_rule(host, path):

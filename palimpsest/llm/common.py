@@ -36,6 +36,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds more than one in HOT of all rows, so at most HOT keys are; its rows are dealt to SALT tasks.
+HOT, SALT = 500, 64
+
+
+def skew_join(rows: DataFrame, side: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with side on key; rows of hot keys are dealt out by a hash of the column spread, and only the rows of
+    side with these keys are copied. rows is read twice, so it is best a table."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("count") > max(total // HOT, 1000)).select(key).collect()]
+    if not hot:
+        return rows.join(side.hint("merge"), key, how)
+    is_hot = F.col(key).isin(hot)
+    dealt = rows.withColumn("salt_", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALT))).otherwise(0).cast("int"))
+    copied = side.withColumn("salt_", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied.hint("merge"), [key, "salt_"], how).drop("salt_")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -452,33 +452,46 @@ def fixed_rule(host, path):
     return best
 
 
+def brute_rules(sets):
+    """items, verdict -> (lift, confidence), from (tokens, blocked) of labelled urls, by every subset of tokens."""
+    import itertools
+
+    n, both = collections.Counter(), collections.Counter()
+    for t, blocked in sets:
+        for k in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), k):
+                n[c] += 1
+                both[c, "block" if blocked else "allow"] += 1
+    share = {v: sum(b == (v == "block") for _, b in sets) / len(sets) for v in ("block", "allow")}
+    least = max(urls.MIN_SUPPORT * len(sets), urls.MIN_COUNT)
+    return {(c, v): (m / n[c] / share[v], m / n[c]) for (c, v), m in both.items() if m >= least and m / n[c] / share[v] >= urls.MIN_LIFT}
+
+
+def brute_verdict(rules, tokens):
+    fits = [(lift, v == "allow", confidence, v) for (c, v), (lift, confidence) in rules.items() if set(c) <= set(tokens)]
+    return (max(fits)[3], max(fits)[2]) if fits else ("allow", None)
+
+
 def test_urls(spark):
     rng = random.Random(0)
     pages = []
     for i in range(400):
-        bad = i % 4 == 0
+        bad = i % 2 == 0
         host = rng.choice(["M.", "www.", ""]) + ("Spam" if bad else rng.choice(["a", "b"])) + ".example." + rng.choice(["com", "net", "org", "info"])
         pages.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es'])}/{rng.randint(1, 99)}" + rng.choice(["", "?q=1", "#top", ".html"])))
-    pages += [(900, None), (901, ""), (902, "no scheme/en/"), (903, "https://com?x"), (904, pages[0][1]), (905, "x://HOST.com/en/\n://")]
-    p = spark.createDataFrame(pages, "page_id long, url string")
-    labelled = p.select("url", (F.col("page_id") % 4 == 0).alias("blocked")).where("page_id < 400")
+    pages += [(900, None), (901, ""), (902, "no scheme/en/"), (903, "https://com?x"), (904, pages[0][1]), (904, pages[1][1]), (905, "x://HOST.com/en/\n://"), (906, "http://spam.example.info/" + "long/" * 30_000), (None, pages[0][1])]
+    p = spark.createDataFrame([(i, u, "x", 1) for i, u in pages], "page_id long, url string, host string, salt_ int")
+    labelled = p.select("url", (F.col("page_id") % 2 == 0).alias("blocked")).where("page_id < 400")
     mined = urls.mine_rules(labelled)
-    rules = {tuple(r["items"]): r["confidence"] for r in mined.collect()}
-    # By brute force: every set of up to three tokens.
-    import itertools
-
-    sets = [(frozenset(r["t"]), r["blocked"]) for r in labelled.select(urls.tokens_of(F.col("url")).alias("t"), "blocked").collect()]
-    n, both = collections.Counter(), collections.Counter()
-    for t, blocked in sets:
-        for k in (1, 2, 3):
-            for c in itertools.combinations(sorted(t), k):
-                n[c] += 1
-                both[c] += blocked
-    assert rules == {c: both[c] / n[c] for c in both if both[c] >= max(urls.MIN_SUPPORT * 400, urls.MIN_COUNT) and both[c] / n[c] >= urls.MIN_CONFIDENCE}
+    rules = {(tuple(r["items"]), r["verdict"]): (r["lift"], r["confidence"]) for r in mined.collect()}
+    assert rules == brute_rules([(r["t"], r["blocked"]) for r in labelled.select(urls.tokens_of(F.col("url")).alias("t"), "blocked").collect()])
+    assert {v for _, v in rules} == {"block", "allow"}
     fixed = spark.createDataFrame([(v, h, q) for v, h, q in urls.FIXED_RULES], "verdict string, host string, path string")
-    got = {r["page_id"]: r for r in urls.judge(p, fixed, mined).collect()}
-    assert len(got) == len(pages)
-    tokens = {r["page_id"]: set(r["t"]) for r in p.select("page_id", urls.tokens_of(F.col("url")).alias("t")).collect()}
+    got = collections.defaultdict(list)
+    for r in urls.judge(p, fixed, mined).collect():
+        got[r["page_id"]].append((r["host"], r["path"], r["rule"], r["verdict"], r["confidence"]))
+    tokens = {r["url"]: r["t"] for r in p.select("url", urls.tokens_of(F.col("url")).alias("t")).collect()}
+    want = collections.defaultdict(list)
     for i, u in pages:
         host = path = ""
         if u and "://" in u:
@@ -486,30 +499,39 @@ def test_urls(spark):
             host = re.sub("[A-Z]", lambda m: m[0].lower(), re.split("[/?#]", rest)[0])
             path = re.split("[?#]", rest[len(host) :])[0]
         best = fixed_rule(host, path)
-        mine = any(set(r) <= tokens[i] for r in rules)
-        assert (got[i]["host"], got[i]["path"]) == (host, path)
-        assert (got[i]["rule"], got[i]["verdict"]) == ((best[1], best[0]) if best else (None, "block" if mine else "allow")), (i, u)
+        verdict, confidence = brute_verdict(rules, tokens[u])
+        want[i].append((host, path, *((best[1], best[0]) if best else (None, verdict)), confidence))
+    assert {i: sorted(v, key=str) for i, v in got.items()} == {i: sorted(v, key=str) for i, v in want.items()}
+    assert [v[3] for v in got[906]] == ["block"]
     none = urls.mine_rules(labelled.limit(0))
     assert none.count() == 0 and {r["verdict"] for r in urls.judge(p, fixed.limit(0), none).collect()} == {"allow"}
+    assert urls.mine_rules(labelled.where("not blocked")).count() == 0
+    assert urls.judge(p.limit(0), fixed, mined).count() == 0
+
+
+def test_skew_join(spark):
+    from palimpsest.llm.common import skew_join
+
+    rows = [(1, k) for k in range(3000)] + [(2, k) for k in range(5)] + [(None, 7), (3, 8)]
+    side = [(1, "a"), (1, "b"), (2, "c"), (4, "d")]
+    left, right = spark.createDataFrame(rows, "k int, v int"), spark.createDataFrame(side, "k int, w string")
+    want = sorted(str((k, v, w)) for k, v in rows for j, w in side if j == k)
+    assert sorted(str((r["k"], r["v"], r["w"])) for r in skew_join(left, right, "k", "v").collect()) == want
+    want += [str((k, v, None)) for k, v in rows if k in (None, 3)]
+    assert sorted(str((r["k"], r["v"], r["w"])) for r in skew_join(left, right, "k", "v", "left").collect()) == sorted(want)
 
 
 def test_url_rule_of_four_tokens(spark, tmp_path):
     import itertools
 
-    kinds = [("abcd", 1)] * 25 + [("".join(c), 0) for c in itertools.combinations("abcd", 3)] * 40 + [("xyz", 0)] * 100
-    pages = [(i, "http://h.info/" + "/".join(k), bad) for i, (k, bad) in enumerate(kinds)] + [(900, "http://h.info/d/c/b/a", None), (901, "http://h.info/a/b/c", None)]
+    kinds = [("abcd", 1)] * 25 + [("".join(c), 0) for c in itertools.combinations("abcd", 3)] * 140 + [("xyz", k % 5 == 0) for k in range(700)]
+    pages = [(i, "http://h.info/" + "/".join(k), bad) for i, (k, bad) in enumerate(kinds)] + [(9000, "http://h.info/d/c/b/a", None), (9001, "http://h.info/a/b/c", None)]
     spark.createDataFrame([p[:2] for p in pages], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([(i, 1, bad) for i, _, bad in pages if bad is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    n, both = collections.Counter(), collections.Counter()
-    for _, url, bad in pages:
-        tokens = sorted({"label=h", "label=info", *(f"dir={x}" for x in url.split("/")[3:])})
-        for k in range(1, len(tokens) + 1) if bad is not None else ():
-            for c in itertools.combinations(tokens, k):
-                n[c] += 1
-                both[c] += bad
-    want = {c: both[c] / n[c] for c in both if both[c] >= urls.MIN_COUNT and both[c] / n[c] >= urls.MIN_CONFIDENCE}
-    assert want and min(map(len, want)) == 4
-    labelled = spark.createDataFrame([(u, bool(bad)) for _, u, bad in pages if bad is not None], "url string, blocked boolean")
-    assert {tuple(r["items"]): r["confidence"] for r in urls.mine_rules(labelled, max_tokens=None).collect()} == want
-    got = {r["page_id"]: r["verdict"] for r in urls.op7_url_rules(spark, str(tmp_path)).collect()}
-    assert {i for i, v in got.items() if v == "block"} == {*range(25), 900}
+    spark.createDataFrame([(i, 1, int(bad)) for i, _, bad in pages if bad is not None], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tokens = lambda url: sorted({"label=h", "label=info", *(f"dir={x}" for x in url.split("/")[3:])})
+    rules = brute_rules([(tokens(url), bool(bad)) for _, url, bad in pages if bad is not None])
+    four = {c for c, v in rules if v == "block" and "dir=a" in c}
+    assert four and min(map(len, four)) == 4
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in urls.op7_url_rules(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_verdict(rules, tokens(url)) for i, url, _ in pages}
+    assert {i for i, (v, _) in got.items() if v == "block" and i < 585} == set(range(25)) and got[9000][0] == "block" and got[9001][0] == "allow"

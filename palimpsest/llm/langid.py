@@ -1,13 +1,12 @@
 """Language ID by compression: a text belongs to the language whose dictionary compresses it best.
 
-learn(labelled) makes one zstandard raw-content dictionary per language from a bounded sample of labelled rows:
-per language the SAMPLE_DOCS rows of smallest hash, SAMPLE_CHARS characters each. identify(docs, model) encodes every
-whole text with every dictionary. Before that a text is put in lower case, what is not a letter becomes a blank, and
-a word counts once, where it first stands: otherwise a repetitive text is compressed by itself and not by a
-dictionary. It goes in blocks of BLOCK_BYTES, so that long texts lean on the dictionary throughout.
+learn(labelled) makes one zstandard raw-content dictionary per language from a bounded sample of labelled rows: the whole
+texts of the SAMPLE_DOCS rows of smallest hash in each language. identify(docs, model) encodes every whole text with
+every dictionary. Before that a text is put in lower case, and runs of what is not a letter become one blank. It goes in
+blocks of BLOCK_BYTES, so that long and repetitive texts lean on the dictionary throughout.
 
 Defined cases. Null text, or no letter in it: und, score 0, rejected. Equal sizes: the language first in
-order of name, score 0, rejected. One learned language: score 1. No learned language (empty or unlabelled training
+order of name, score 0, rejected. Text of several languages: that of most of it, as sizes add up over the blocks. One learned language: score 1. No learned language (empty or unlabelled training
 rows): und throughout. Labels that are null are not learned from. Repeated rows: each gets its row. Extra columns are
 ignored. Empty table: no rows.
 """
@@ -24,9 +23,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import chunks, table
 
-#: The bound of the training sample, for each language.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 2000
-DICT_BYTES, BLOCK_BYTES, LEVEL = 256 << 10, 1 << 10, 3
+#: The bound of the training sample: rows of each language.
+SAMPLE_DOCS = 400
+BLOCK_BYTES, LEVEL = 1 << 10, 3
 #: (second - best) / second below which a text is rejected.
 MIN_MARGIN = 0.01
 UNKNOWN = "und"
@@ -36,12 +35,12 @@ _LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(2
 
 
 def plain(text: str) -> bytes:
-    """The distinct words of a text."""
-    return b" ".join(dict.fromkeys(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS_ONLY).split()))
+    """The words of a text."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS_ONLY).split())
 
 
-def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """labelled: doc_id, text, lang. The dictionaries; at most DICT_BYTES per language reach the driver."""
+def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
+    """labelled: doc_id, text, lang. The dictionaries; docs whole texts of each language reach the driver."""
     rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -51,9 +50,9 @@ def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHAR
     near = rows.where((F.col("h") / F.lit(2.0**64) + 0.5) <= share)
     first = near.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))).where(F.col("i") <= docs)
     texts: dict[str, list[bytes]] = {}
-    for r in first.select("lang", "i", F.substring("text", 1, chars).alias("text")).orderBy("lang", F.desc("i")).collect():
+    for r in first.select("lang", "i", "text").orderBy("lang", F.desc("i")).collect():
         texts.setdefault(r["lang"], []).append(plain(r["text"]))
-    return {k: b" ".join(v)[-DICT_BYTES:] for k, v in texts.items()}
+    return {k: b" ".join(v) for k, v in texts.items()}
 
 
 def sizes_by_language(model: dict[str, bytes]) -> Callable[[str], list[int]]:

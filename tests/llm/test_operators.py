@@ -201,10 +201,27 @@ def test_language(spark, empty):
     assert [got[i]["lang_pred"] for i in (100, 101, 102)] == ["und"] * 3 and all(got[i]["rejected"] for i in (100, 101, 102))
     kept = langid.keep_identified(test, model)
     assert kept.columns == test.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["rejected"]}
+    # Long, mixed and repetitive texts, ties, repeated rows.
+    word = {k: [t for _, t, lang in rows[60:] if lang == k] for k in "xy"}
+    odd = [(0, " ".join(word["x"] * 200), "y"), (1, " ".join(word["x"] * 3 + word["y"]), None), (2, "uno dosa " * 20_000, "x"), (3, "zzzz", None), (4, word["y"][0], "x"), (4, word["y"][0], "x")]
+    odd = langid.identify(frame(spark, odd), model).collect()
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in odd if r["doc_id"] != 3) == [(0, "x"), (1, "x"), (2, "y"), (4, "y"), (4, "y")]
+    assert [(r["score"], r["rejected"]) for r in langid.identify(frame(spark, [(0, word["x"][0], None)]), {"a": model["x"], "b": model["x"]}).collect()] == [(0.0, True)]
     assert langid.learn(empty) == {} and langid.identify(empty, model).count() == 0
     assert {r["lang_pred"] for r in langid.identify(test, {}).collect()} == {"und"}
 
 
+def test_language_of_held_out_documents(spark):
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the test tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.op8_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'")
+    right, n = found.selectExpr("sum(int(lang = lang_pred))", "count(*)").first()
+    assert n > 200 and right >= 0.95 * n
+
+
 def test_packing_round_trip(docs, empty, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -179,13 +179,29 @@ def test_quality(spark, docs, empty):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n)
         assert r["kept"] == (not r["base_failed"] and r["score"] >= least)
-    # The score of one text by hand.
-    t = corpus()[5][1]
-    w = [x.lower().encode() for x in t.split()]
-    from palimpsest.llm.words import hash_ranges
-
-    h = lambda x: hash_ranges(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]
-    assert got[5]["n_words"] == len(w) and len({int(h(x)) for x in w}) == len(set(w))
+    # Score, threshold and verdict of every text from plain counts of hashed words and pairs.
+    from palimpsest.llm.words import combine, hash_ranges
+
+    def buckets(t):
+        w = [re.sub(b"[A-Z]", lambda m: m[0].lower(), x.encode()) for x in WORD.findall(t or "")]
+        h = [hash_ranges(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)])) for x in w]
+        return [int(x[0] % quality.BUCKETS) for x in h + [combine(a, b) for a, b in zip(h, h[1:])]]
+
+    own = {i: buckets(t) for i, t, _ in corpus()}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, b in own.items():
+        raw.update(b)
+        if i in counting:
+            target.update(b)
+    share = lambda c, b: c[b] / c.total() + quality.SMOOTHING / quality.BUCKETS
+    score = {i: sum(np.log(share(target, x) / share(raw, x)) for x in b) / max(len(b), 1) for i, b in own.items()}
+    assert set(counting) | set(checking) == {i for i in range(40) if i % 3} and not set(counting) & set(checking)
+    assert all(abs(got[i]["score"] - score[i]) < 1e-9 for i in score)
+    trusted = sorted(score[i] for i in checking if base_rules(corpus()[i][1])[0] >= quality.MIN_WORDS)
+    assert abs(least - (trusted[int(quality.TRUSTED_LOSS * len(trusted))] - quality.MARGIN)) < 1e-9
+    assert len({r["kept"] for r in got.values() if not r["base_failed"]}) == 2
+    twice = quality.rate(frame(spark, [(5, corpus()[5][1], None)] * 2 + [(None, corpus()[5][1], None)]), ratio, least).collect()
+    assert [r["score"] for r in twice] == [got[5]["score"]] * 3
     no = quality.trusted_ids(labels.limit(0))[0]
     assert not quality.fit(docs, no).any() and quality.rate(empty, ratio, least).count() == 0
 

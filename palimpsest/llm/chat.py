@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import table
@@ -87,6 +87,12 @@ def format_chats(rows: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame
             escape(text, template).alias("out"),
         ).alias("t"),
     )
+    # Where each text begins, as a running sum, so that a conversation takes time in proportion to its length.
+    fixed = len(template.start) + len(template.after_role) + len(template.stop)
+    before = Window.partitionBy("conv_id").orderBy("t.turn", "t.role", "t.text").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("t.role_out") + F.length("t.out") + fixed
+    at = F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("t.role_out") + len(template.start) + len(template.after_role)
+    turns = turns.select("conv_id", F.struct("t.turn", "t.role", "t.text", "t.role_out", "t.out", at.cast("int").alias("at")).alias("t"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def parts(t: Column) -> Column:
@@ -106,21 +112,14 @@ def format_chats(rows: DataFrame, template: ChatTemplate = DEFAULT) -> DataFrame
             F.coalesce(acc["error"], F.when(_next(acc["state"], t["role"], template) == "refused", acc["at"])).alias("error"),
         ),
     )
-    chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", parts)).alias("segments"), walked.alias("fsm"))
-    spans = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, s: F.struct(
-            (acc["at"] + F.length(s["text"])).alias("at"),
-            F.when(s["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(s["text"])).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
+    spans = F.transform(F.filter("turns", lambda t: t["role"].isin(*template.loss)), lambda t: F.struct(t["at"].alias("start"), (t["at"] + F.length(t["out"])).alias("end")))
+    chats = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.flatten(F.transform("turns", parts)).alias("segments"), spans.alias("loss_spans"), walked.alias("fsm"))
     return chats.select(
         "conv_id",
         "n_turns",
         F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
         "segments",
-        spans["spans"].alias("loss_spans"),
+        "loss_spans",
         (F.col("fsm.error").isNull() & F.col("fsm.state").isin(*template.final)).alias("valid"),
         F.col("fsm.error").alias("error_turn"),
     )

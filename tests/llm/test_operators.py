@@ -427,11 +427,17 @@ def test_chat(spark):
         (3, 0, "to\nol[INST]", "x", 9),
         (3, 0, "to\nol[INST]", "x", 9),
         (4, None, None, "", 9),
+        (None, 0, "user", "q", 9),
+        (None, 1, "assistant", "a", 9),
+        *((5, k, ("user", "assistant")[k % 2], f"</s>{k}", 9) for k in range(3000)),
+        (6, 0, "user", "x" * 300_000, 9),
+        (6, 1, "assistant", "[INST]" * 50_000, 9),
     ]
-    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    names = "formatted int, segments int, turns int, at int, valid int"
+    d = spark.createDataFrame([(*r[:4], *[r[4]] * 5) for r in rows], "conv_id long, turn long, role string, text string, " + names)
     out = chat.format_chats(d).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     got = {r["conv_id"]: r for r in out.collect()}
-    for c in (1, 2, 3, 4):
+    for c in (1, 2, 3, 4, 5, 6, None):
         own = sorted([r for r in rows if r[0] == c], key=lambda r: (r[1] is not None, r[1] or 0))
         assert [(x["role"], x["text"]) for x in got[c]["back"]] == [(r[2] or "", r[3] or "") for r in own]
         assert got[c]["loss"] == "".join(r[3] for r in own if r[2] == "assistant")

@@ -13,10 +13,16 @@ distance from it lies in the window [a - r, a + r], r = 1 - similarity.
    region. Below 0.9 many parts are empty and would put unlike sets in one region, so there are as many parts more as sets of the
    ring may have empty ones: a set with no more than these shares a part that is not empty, and leaves its empty ones out. Of the sets there the one of smallest id is the pivot document, and the others fall in its region. Pivots that
    share several parts are near each other, and their regions become one.
-3. A region joins recursively: pivots far from each other, nearest-pivot (Voronoi) cells, each widened by the
-   window of 2 r that the triangle inequality gives, until a cell is small or no longer shrinks; then all its
-   pairs that the sizes allow are measured. Everything is exact.
-4. Regions above a bounded number of shingles are dealt to several tasks, as blocks of pairs.
+3. A region joins recursively. Pivots far from each other are measured against all its sets; whatever is within
+   r of a pivot is linked to it. The sets fall into the cell of their nearest (Voronoi) pivot, and each cell is widened
+   by the windows of the triangle inequality: a set that is linked to one in the cell of p is no further than r
+   beyond that cell's radius from p, and no further than 2 r beyond its own nearest pivot. Cells recurse without the pivots. A
+   cell of one class is done, as only classes are asked for. Where cells don't shrink, the pairs that the distances
+   from all pivots leave open, |d(x, p) - d(y, p)| <= r, are measured. This holds at every size, from two sets on.
+4. Regions above a bounded number of shingles do the same step as a job of its own: their sets are dealt to tasks, each
+   of which gets the region's pivots (those that share most parts). Sets that are linked to the cell's pivot are of
+   one class, so of these only the window of the others goes on with the cell. What doesn't shrink is dealt as
+   blocks of pairs.
 5. Links become classes through connected components.
 
 Copies are reduced to one per task before anything is sent. A part's region is sent as packed arrays of about 12 bytes
@@ -40,13 +46,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import CHUNK_BYTES, chunks, partitions, saved, table
+from palimpsest.llm.common import CHUNK_BYTES, chunks, partitions, saved, skew_join, table
 from palimpsest.llm.components import components
 from palimpsest.llm.words import combine, mix, split, windows
 
 WORDS, PERCENT = 3, 90
-#: Shingles of one block of a region, and pivots of one step of its recursion.
-BLOCK_SHINGLES, PIVOTS, SMALL = 1 << 21, 6, 32
+#: Shingles of one block of a region, pivots of one step of its recursion, steps as jobs, and how much larger than a
+#: region its cells may be together.
+BLOCK_SHINGLES, PIVOTS, STEPS, GROWTH = 1 << 21, 6, 8, 1.5
+#: Shingles that a shard of parts stands for; bounds its task's memory.
+SHARD_SHINGLES = 4 << 20
 #: Shared parts from which two pivots' regions are joined as one.
 NEAR_PARTS = 3
 _B, _RING_BITS = np.uint64(8), np.uint64(8)
@@ -184,16 +193,21 @@ def _meet(percent: int):
 
 
 class Forest:
-    """Classes of a region's sets."""
+    """Classes of a region's sets, and how many links pivots and the windows of cells have given."""
 
     def __init__(self, n: int):
         self.root = np.arange(n)
+        self.by_pivot = self.by_window = self.cells = 0
 
     def link(self, i: int, others: np.ndarray) -> None:
         for r in np.unique(self.root[others]):
             if r != self.root[i]:
                 self.root[self.root == r] = self.root[i]
 
+    def one(self, group: np.ndarray) -> bool:
+        """Whether a group is one class."""
+        return bool((self.root[group] == self.root[group[0]]).all())
+
 
 def _overlaps(one: np.ndarray, flat: np.ndarray, start: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of a set with each of several; all as numbers below len(scratch)."""
@@ -203,6 +217,17 @@ def _overlaps(one: np.ndarray, flat: np.ndarray, start: np.ndarray, scratch: np.
     return out
 
 
+def voronoi(d: np.ndarray, r: float) -> list[np.ndarray]:
+    """d: distances of pivots (rows) from points. Which points each pivot's cell has with its windows; empty cells are left out."""
+    near, home = d.min(0), d.argmin(0)
+    cells = []
+    for k in range(len(d)):
+        own = home == k
+        if own.any():
+            cells.append(own | (d[k] <= near + 2 * r) & (d[k] <= d[k][own].max() + r))
+    return cells
+
+
 def join_region(sets: list[np.ndarray], percent: int) -> Forest:
     """Classes of the linked sets; none is empty."""
     forest = Forest(len(sets))
@@ -213,47 +238,55 @@ def join_region(sets: list[np.ndarray], percent: int) -> Forest:
     size = np.array([len(s) for s in sets])
     start = np.concatenate([[0], np.cumsum(size)])
     scratch = np.zeros(len(vocabulary), np.int8)
-    reach = 2 * (1 - percent / 100) + 1e-9
+    r = 1 - percent / 100 + 1e-9
 
     def members(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([number[start[i] : start[i + 1]] for i in group]), np.concatenate([[0], np.cumsum(size[group])[:-1]])
 
-    def measure(group: np.ndarray) -> None:
-        group = group[np.argsort(size[group], kind="stable")]
-        own, at = members(group)
-        for k, i in enumerate(group[:-1].tolist()):
-            end = int(np.searchsorted(size[group], size[i] * 100 // percent, "right"))
-            rest = group[k + 1 : end]
-            if not len(rest) or (forest.root[rest] == forest.root[i]).all():
-                continue
-            stop = at[end] if end < len(at) else len(own)
-            shared = _overlaps(number[start[i] : start[i + 1]], own[at[k + 1] : stop], at[k + 1 : end] - at[k + 1], scratch)
-            near = rest[100 * shared >= percent * (size[i] + size[rest] - shared)]
-            if len(near):
-                forest.link(i, near)
+    def measure(i: int, group: np.ndarray, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distances of a group from set i, its sets that are linked to i)"""
+        shared = _overlaps(number[start[i] : start[i + 1]], own, at, scratch)
+        union = size[i] + size[group] - shared
+        return 1 - shared / union, group[100 * shared >= percent * union]
 
     todo = [np.arange(len(sets))]
     while todo:
         group = todo.pop()
-        if len(group) <= SMALL:
-            if len(group) > 1:
-                measure(group)
+        if len(group) < 2 or forest.one(group):
             continue
         own, at = members(group)
-        far, distance, pivot = np.full(len(group), np.inf), [], 0
-        for _ in range(PIVOTS):
-            i = group[pivot]
-            shared = _overlaps(number[start[i] : start[i + 1]], own, at, scratch)
-            distance.append(1 - shared / (size[i] + size[group] - shared))
-            far = np.minimum(far, distance[-1])
-            pivot = int(np.argmax(far))
-            if far[pivot] == 0:
+        far, rows, pivot = np.full(len(group), np.inf), [], 0
+        rest = np.ones(len(group), np.bool_)
+        while len(rows) < min(PIVOTS, len(group) - 1) and rest[pivot]:
+            d, near = measure(group[pivot], group, own, at)
+            rows.append(d)
+            rest[pivot] = False
+            far = np.minimum(far, d)
+            forest.by_pivot += len(near) - 1
+            forest.link(group[pivot], near)
+            if forest.one(group):
                 break
-        cells = [group[d <= far + reach] for d in distance]
-        if len(cells) < 2 or max(map(len, cells)) > 0.8 * len(group):
-            measure(group)
-        else:
-            todo += cells
+            pivot = int(np.argmax(np.where(rest, far, -1)))
+        if forest.one(group):
+            continue
+        d, group = np.stack(rows)[:, rest], group[rest]
+        cells = voronoi(d, r)
+        forest.cells += len(cells)
+        if sum(c.sum() for c in cells) <= GROWTH * len(group):
+            todo += [group[c] for c in cells]
+            continue
+        own, at = members(group)
+        for k, i in enumerate(group[:-1].tolist()):
+            later = group[k + 1 :]
+            if forest.one(group[k:]):
+                break
+            open_ = (forest.root[later] != forest.root[i]) & (np.abs(d[:, k + 1 :] - d[:, k : k + 1]).max(0) <= r)
+            open_ &= (100 * size[later] >= percent * size[i]) & (100 * size[i] >= percent * size[later])
+            if open_.any():
+                some = later[open_]
+                _, near = measure(i, some, *members(some))
+                forest.by_window += len(near)
+                forest.link(i, near)
     return forest
 
 
@@ -285,6 +318,77 @@ def _join(words: int, percent: int):
     return run
 
 
+def _pivot_distances(words: int, percent: int):
+    """Of the sets of a part of a region from the region's pivots, which stand before them (role 0): a row for each cell
+    that a set is in. linked: to the cell's pivot."""
+    r = 1 - percent / 100 + 1e-9
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivots, names = None, [], []
+        for batch in batches:
+            for part, texts in chunks(batch, "text"):
+                flat, bounds = shingles(texts, words)
+                rows = zip(*(part.column(c).to_pylist() for c in ("pivot", "salt", "role", "rep", "n", "parts")), strict=True)
+                out: list[tuple] = []
+                for i, (region, salt, role, rep, n, parts) in enumerate(rows):
+                    if (region, salt) != key:
+                        key, pivots, names = (region, salt), [], []
+                    own = np.unique(flat[bounds[i] : bounds[i + 1]])
+                    if role == 0:
+                        pivots.append(own)
+                        names.append(rep)
+                        continue
+                    shared = np.array([len(np.intersect1d(own, p, assume_unique=True)) for p in pivots])
+                    union = np.array([len(p) for p in pivots]) + len(own) - shared
+                    d = 1 - shared / union
+                    for k in np.flatnonzero(d <= d.min() + 2 * r).tolist():
+                        out.append((region, names[k], rep, n, parts, float(d[k]), bool(d[k] == d.min()), bool(100 * shared[k] >= percent * union[k])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], [c.split()[0] for c in _CELL.split(", ")])
+
+    return run
+
+
+_CELL = "pivot long, centre long, rep long, n long, parts long, d double, own boolean, linked boolean"
+
+
+def split_regions(docs: DataFrame, regions: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """regions: pivot, rep, n, parts. Returns the regions with those above BLOCK_SHINGLES taken apart into cells, as far as cells
+    shrink, and the links found on the way (a, b)."""
+    spark = docs.sparkSession
+    r = 1 - percent / 100 + 1e-9
+    done, links, todo = [], [spark.range(0).selectExpr("id as a", "id as b")], regions
+    for step in range(STEPS):
+        large = todo.groupBy("pivot").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("g")).where("g > 1")
+        if large.isEmpty():
+            break
+        done.append(skew_join(todo, large, "pivot", "rep", "left_anti"))
+        own = saved(skew_join(todo, large, "pivot", "rep"), "members")
+        bucket = F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(PIVOTS))
+        centres = own.groupBy("pivot", "g", bucket.alias("bucket")).agg(F.max(F.struct("parts", F.xxhash64("rep", F.lit(1)), "rep")).alias("best"))
+        centres = centres.select("pivot", F.col("best.rep").alias("rep"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("salt"))
+        rows = own.select("pivot", "rep", F.lit(1).alias("role"), "n", "parts", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("g")).alias("salt")).unionByName(centres)
+        texts = docs.join(rows.hint("shuffle_hash"), docs["doc_id"] == rows["rep"]).select("pivot", "salt", "role", "rep", "n", "parts", "text")
+        dealt = texts.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "rep")
+        cells = saved(dealt.mapInArrow(_pivot_distances(words, percent), _CELL), "cells")
+        links.append(cells.where("linked and centre != rep").select(F.col("centre").alias("a"), F.col("rep").alias("b")))
+        # A cell goes on with what is not linked to its centre, and of the rest with what such a one could be linked to.
+        rest = cells.groupBy("pivot", "centre").agg(F.min(F.when(~F.col("linked"), F.col("d"))).alias("least"), F.max(F.when(F.col("own"), F.col("d"))).alias("radius")).where("least is not null and radius is not null")
+        keyed = lambda x: x.withColumn("cell", F.xxhash64("pivot", "centre", F.lit(step)))
+        going = skew_join(keyed(cells), keyed(rest).drop("pivot", "centre"), "cell", "rep").where(f"(not linked or d >= least - {r}) and d <= radius + {r} and rep != centre")
+        going = saved(going.select("pivot", "cell", "rep", "n", "parts").distinct(), "going")
+        before, after = own.groupBy("pivot").agg(F.sum("n").alias("before")), going.groupBy("pivot").agg(F.sum("n").alias("after"))
+        stuck = before.join(after, "pivot").where(F.col("after") > GROWTH * F.col("before")).select("pivot")
+        done.append(skew_join(own.drop("g"), stuck, "pivot", "rep", "left_semi"))
+        todo = saved(skew_join(going, stuck, "pivot", "rep", "left_anti").select(F.col("cell").alias("pivot"), "rep", "n", "parts"), "todo")
+    found, pairs = todo, links[0]
+    for x in done:
+        found = found.unionByName(x)
+    for x in links[1:]:
+        pairs = pairs.unionByName(x)
+    return (saved(found, "regions") if done else found), pairs
+
+
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
     spark = docs.sparkSession
@@ -292,20 +396,22 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     known = saved(describe(docs, words), "sets")
     points = known.where("n > 0 and doc_id is not null")
     reps = points.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    shared = docs.mapInArrow(_parts(words, percent, partitions(spark)), "shard int, blob binary").groupBy("shard").applyInArrow(_meet(percent), "pivot long, rep long, n long, parts long")
+    shards = max(partitions(spark), (points.agg(F.sum("n")).first()[0] or 0) // SHARD_SHINGLES)
+    shared = docs.mapInArrow(_parts(words, percent, shards), "shard int, blob binary").groupBy("shard").applyInArrow(_meet(percent), "pivot long, rep long, n long, parts long")
     met = saved(shared.groupBy("pivot", "rep").agg(F.max("n").alias("n"), F.sum("parts").alias("parts")), "met")
     # Regions whose pivots are near each other become one, so that a text of a dense group is sent once, not once per pivot.
     near = met.where(F.col("parts") >= NEAR_PARTS).where("rep != pivot").join(met.select(F.col("pivot").alias("rep")).distinct().hint("merge"), "rep", "left_semi")
     merged = components(near.select(F.col("pivot").alias("a"), F.col("rep").alias("b"))).select(F.col("node").alias("pivot"), "component")
-    regions = met.join(merged.hint("merge"), "pivot", "left").groupBy(F.coalesce("component", "pivot").alias("pivot"), "rep").agg(F.max("n").alias("n"))
-    regions = saved(regions, "regions")
-    blocks = regions.groupBy("pivot").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("g"))
+    regions = skew_join(met, merged, "pivot", "rep", "left").groupBy(F.coalesce("component", "pivot").alias("pivot"), "rep").agg(F.max("n").alias("n"), F.sum("parts").alias("parts"))
+    regions, links = split_regions(docs, saved(regions, "regions"), words, percent)
+    large = regions.groupBy("pivot").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("g")).where("g > 1")
     block = F.pmod(F.xxhash64("rep"), F.col("g"))
-    placed = regions.join(blocks.hint("merge"), "pivot").select("pivot", "rep", block.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("o"))
+    placed = skew_join(regions, large, "pivot", "rep", "left").withColumn("g", F.coalesce("g", F.lit(1).cast("long")))
+    placed = placed.select("pivot", "rep", block.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("o"))
     placed = placed.select("pivot", "rep", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
     texts = docs.join(placed.hint("shuffle_hash"), docs["doc_id"] == placed["rep"]).select("pivot", "bi", "bj", "rep", "text")
     dealt = texts.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj", "rep")
-    links = dealt.mapInArrow(_join(words, percent), "a long, b long")
+    links = links.unionByName(dealt.mapInArrow(_join(words, percent), "a long, b long"))
     classes = components(links).select(F.col("node").alias("rep"), "component")
     named = reps.select("s1", "s2", "rep").join(classes.hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     found = known.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")

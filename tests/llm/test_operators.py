@@ -96,25 +96,87 @@ def test_jaccard_is_exact_below_0_9(spark):
     assert got == dict(enumerate(want)) and 150 < len(set(want)) < 440
 
 
-def test_region_join_recurses(monkeypatch):
-    rng = np.random.default_rng(0)
-    monkeypatch.setattr(jaccard, "SMALL", 4)
-    sets = []
-    for _ in range(12):
-        base = rng.choice(100_000, 60, replace=False)
-        for _ in range(8):
-            s = base.copy()
-            s[: rng.integers(0, 5)] = rng.integers(100_000, 200_000)
-            sets.append(np.unique(s).astype(np.uint64))
-    root = jaccard.join_region(sets, 90).root
+def brute_classes(sets, percent):
     want = list(range(len(sets)))
+    sets = [set(x.tolist()) for x in sets]
     for i in range(len(sets)):
         for j in range(i):
-            a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if 100 * len(a & b) >= 90 * len(a | b):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 old, new = want[i], want[j]
                 want = [new if x == old else x for x in want]
-    assert len({(a, b) for a, b in zip(root.tolist(), want)}) == len(set(want)) == len(set(root.tolist()))
+    return want
+
+
+def test_region_join_is_exact_at_every_size():
+    rng = np.random.default_rng(0)
+    by_window = by_pivot = cells = 0
+    for trial in range(60):
+        sets = []
+        for _ in range(rng.integers(1, 14)):
+            base = rng.choice(100_000, rng.integers(3, 80), replace=False)
+            for _ in range(rng.integers(1, 12)):
+                s = base.copy()
+                s[: rng.integers(0, 6)] = rng.integers(100_000, 200_000)
+                base = s if rng.random() < 0.3 else base
+                sets.append(np.unique(s).astype(np.uint64))
+        sets = [sets[k] for k in rng.permutation(len(sets))]
+        percent = (90, 80)[trial % 2]
+        found = jaccard.join_region(sets, percent)
+        want = brute_classes(sets, percent)
+        assert len(set(zip(found.root.tolist(), want))) == len(set(want)) == len(set(found.root.tolist()))
+        by_pivot, by_window, cells = by_pivot + found.by_pivot, by_window + found.by_window, cells + found.cells
+    assert by_pivot and by_window and cells
+    two = [np.arange(20, dtype=np.uint64), np.arange(1, 21, dtype=np.uint64)]
+    pair = jaccard.join_region(two, 90)
+    assert pair.by_pivot == 1 and pair.one(np.arange(2))
+
+
+def test_large_regions_are_taken_apart(spark, monkeypatch):
+    """Regions above the block size: a star of near copies, which a pivot settles, and a chain, which cells and blocks do."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(80)]
+    rows = [" ".join(base)]
+    for _ in range(40):
+        w = base[:]
+        w[rng.randrange(80)] = word()
+        rows.append(" ".join(w))
+    w = [word() for _ in range(70)]
+    for _ in range(50):
+        w[rng.randrange(70)] = word()
+        rows.append(" ".join(w))
+    rng.shuffle(rows)
+    rows = [(i, t, None) for i, t in enumerate(rows)]
+    found, links = [], []
+    inner = jaccard.split_regions
+
+    def kept(*args):
+        out = inner(*args)
+        links.append(out[1].count())
+        found.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(jaccard, "split_regions", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(frame(spark, rows)).collect()}
+    assert got == classes(rows) and links[0] > 40
+
+
+def test_pivots_and_windows_give_the_links_of_the_test_table(monkeypatch):
+    """Regions of the test table: every link comes from a pivot or a window."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("needs the test tables")
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).combine_chunks()
+    flat, bounds = jaccard.shingles(t.column("text").combine_chunks().cast("large_string").fill_null(""), 3)
+    sets = [np.unique(flat[a:b]) for a, b in zip(bounds, bounds[1:]) if b > a]
+    sets = list({x.tobytes(): x for x in sets}.values())
+    found = jaccard.join_region(sets, 90)
+    classes = len(set(found.root.tolist()))
+    assert found.by_pivot + found.by_window >= len(sets) - classes > 0
 
 
 def test_components(spark):

@@ -3,20 +3,23 @@
 Texts become templates: words in lower case without punctuation, with typed placeholders for numbers, for units that
 follow a number, and for names (capitalised words inside a sentence, a run of them as one; a second form keeps names as
 words, for texts whose capitals were changed; a third takes words that begin a sentence as names too if capitalised, for
-names in that place). Windows of WORDS template
-tokens of all documents are hash-joined to those of the benchmark. Hits of a document on an item are then aligned, and
-the values in the slots are checked: one value of the item must always stand for one value of the document and the
-other way round. Windows that break this do not count. An item is found in a document if the windows that count cover
-LEAST percent of its tokens; reparameterised tells whether a slot holds another value than in the item.
-
-The benchmark is taken in blocks of at most BLOCK_BYTES of text, each a stated query set that goes to every task; the
-documents are never shuffled, and one pass over them serves a block.
-
-Defined cases. Null or empty text: nothing is found in it. Items below MIN_TOKENS tokens, null or empty: never found.
-Items below WORDS tokens: one window of their own length. Windows with fewer than MIN_LITERAL literal words (or
-half their length, if short) do not count, as they would fit anything. Equal items: each is found. Copies and repeated
-rows of documents: each is judged. Very long texts are scanned whole. Extra columns are ignored. An empty table on
-either side: no rows.
+names in that place). Windows of WORDS template tokens of all documents are hash-joined to those of the benchmark. A
+window with fewer than MIN_LITERAL literal words would fit anything as a template, so it is joined with its values.
+
+Hits of a document on an item are then aligned. Those whose shift (place in the document less place in the item) differs by
+few tokens make an occurrence, in which the values of the slots are checked: one value of the item must always stand for
+one value of the document and the other way round, over all its shifts. Windows that break this do not count. An item is
+found if the windows that count in one occurrence cover LEAST percent of its tokens; reparameterised tells whether a slot
+holds another value than in the item in every such occurrence.
+
+One pass over the documents serves a benchmark of any size: a bitmap of fixed size says which windows can be in it,
+and only these, with the values of their slots, are written and joined. Hot windows are dealt to many tasks.
+
+Defined cases. Null or empty text: nothing is found in it. Null or empty items, and items without words: never found. Items
+below WORDS tokens: one window of their own length, with its values; those of one or two tokens are found only in documents that have
+no other tokens. Null item_id: found like others. Equal items: each is found; repeated rows of the benchmark count once. Copies and
+repeated rows of documents, and null doc_ids: each row is judged. Very long texts are scanned whole. Extra columns are
+ignored. An empty table on either side: no rows.
 """
 
 from __future__ import annotations
@@ -30,11 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import chunks, table, text_buffer
-from palimpsest.llm.words import _LOWER, combine, hash_ranges, windows
+from palimpsest.llm.common import chunks, saved, skew_join, table, text_buffer
+from palimpsest.llm.words import _LOWER, hash_ranges, mix, windows
 
-WORDS, LEAST, MIN_TOKENS, MIN_LITERAL = 5, 80, 4, 3
-BLOCK_BYTES = 8 << 20
+WORDS, LEAST, MIN_LITERAL = 5, 80, 3
+#: Items of fewer tokens are only found in documents of nothing else.
+SHORT = 3
+#: Tokens by which the shifts of an occurrence may differ, or a part of the item's tokens.
+SLACK, SLACK_PART = 3, 10
+#: Bits of the bitmap of the benchmark's windows.
+BITS = 1 << 25
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _PLACE = np.array([0, 0xA1, 0xA2, 0xA3], np.uint64)
 # Units.
@@ -68,6 +76,7 @@ class Templates:
     end: np.ndarray
     kind: np.ndarray
     hash: np.ndarray  # of the token, a placeholder's by its kind
+    word: np.ndarray  # hash of the token with its kind and value
     bounds: np.ndarray  # of the texts in the tokens
     head: np.ndarray  # whether the token begins a sentence
 
@@ -122,156 +131,199 @@ def templates(texts: pa.LargeStringArray, names: bool = True, heads: bool = Fals
         if run.any():
             keep = np.flatnonzero(~run)
             end = end[np.append(keep[1:], len(start)) - 1]
-            start, kind, h, inside = start[keep], kind[keep], h[keep], inside[keep]
-    h = np.where(kind == LITERAL, h, _PLACE[kind])
-    return Templates(lower, start, end, kind, h, np.searchsorted(start, offsets), ~inside)
+            start, kind, inside = start[keep], kind[keep], inside[keep]
+            h = hash_ranges(lower, start, end)
+    return Templates(lower, start, end, kind, np.where(kind == LITERAL, h, _PLACE[kind]), mix(h ^ _PLACE[kind]), np.searchsorted(start, offsets), ~inside)
+
+
+#: Names as placeholders, and those that begin a sentence too.
+FORMS = ((True, False), (False, False), (True, True))
+_WINDOW = "id long, key long, form int, n int, at long, size long, hash long, slots binary"
 
 
 def template_windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first token) of the windows of n tokens with enough literal words."""
+    """(hash, first token) of the windows of n tokens."""
     h, at = windows(t.hash, t.bounds, n)
+    exact, _ = windows(t.word, t.bounds, n)
     literal = np.concatenate([[0], np.cumsum(t.kind == LITERAL)])
-    enough = literal[at + n] - literal[at] >= min(MIN_LITERAL, (n + 1) // 2)
-    return h[enough], at[enough]
-
-
-class Benchmark:
-    """A block of items, indexed by template windows with names as placeholders, with names as words in lower case, and
-    with capitalised words that begin a sentence as placeholders too."""
-
-    def __init__(self, ids: list[int], texts: list[str]):
-        self.ids = ids
-        self.forms = [_Form(texts, *form) for form in ((True, False), (False, False), (True, True))]
-
-    def find(self, texts: pa.LargeStringArray) -> list[tuple[int, int, int, bool]]:
-        """(text, item, percent of the item's tokens that is covered, reparameterised) of all that reach LEAST."""
-        best: dict[tuple[int, int], tuple[int, bool]] = {}
-        for form in self.forms:
-            for doc, item, percent, other in form.find(texts):
-                # An item that is there with its own values is not reparameterised.
-                best[doc, item] = max(best.get((doc, item), (0, True)), (percent, other), key=lambda x: (not x[1], x[0]))
-        return sorted((*k, *v) for k, v in best.items())
-
-
-class _Form:
-    def __init__(self, texts: list[str], names: bool, heads: bool):
-        self.names, self.heads = names, heads
-        self.t = t = templates(pa.array(texts, pa.large_string()), names, heads)
-        size = np.diff(t.bounds)
-        self.size = size
-        parts = []
-        self.lengths = sorted({min(WORDS, n) for n in size.tolist() if n >= MIN_TOKENS})
-        for n in self.lengths:
-            h, at = template_windows(t, n)
-            item = np.searchsorted(t.bounds, at, "right") - 1
-            fits = (np.minimum(size[item], WORDS) == n)
-            parts.append((h[fits], at[fits], item[fits], np.full(fits.sum(), n)))
-        h, at, item, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
-        order = np.argsort(h, kind="stable")
-        self.h, self.at, self.item, self.n = h[order], at[order], item[order], n[order]
-        self.seen = np.zeros(1 << 20, np.bool_)
-        self.seen[(self.h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def find(self, texts: pa.LargeStringArray) -> list[tuple[int, int, int, bool]]:
-        """(text, item, percent of the item's tokens that is covered, reparameterised) of all that reach LEAST."""
-        if not len(self.h):
-            return []
-        t = templates(texts, self.names, self.heads)
-        hits: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for n in self.lengths:
-            h, at = template_windows(t, n)
-            maybe = np.flatnonzero(self.seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            a, b = np.searchsorted(self.h, h[maybe]), np.searchsorted(self.h, h[maybe], "right")
-            for k in np.flatnonzero(b > a).tolist():
-                p = int(at[maybe[k]])
-                doc = int(np.searchsorted(t.bounds, p, "right")) - 1
-                for j in range(a[k], b[k]):
-                    if self.n[j] == n:
-                        hits[doc, int(self.item[j])].append((p - int(self.at[j]), int(self.at[j]), n))
-        found = []
-        for (doc, item), own in hits.items():
-            covered, other = self._cover(t, own)
-            percent = 100 * len(covered) // int(self.size[item])
-            if percent >= LEAST:
-                found.append((doc, item, percent, other))
-        return sorted(found)
-
-    def _cover(self, t: Templates, own: list[tuple[int, int, int]]) -> tuple[set[int], bool]:
-        """The item's tokens in windows whose slots are consistent, by alignment, and whether a value differs."""
-        covered: set[int] = set()
-        other = False
-        there: dict = {}
-        back: dict = {}
-        last = None
-        for shift, at, n in sorted(own):
-            if shift != last:
-                there, back, last = {}, {}, shift
-            slots = [(int(self.t.kind[i]), *self._values(t, i, i + shift)) for i in range(at, at + n) if self.t.kind[i] != LITERAL]
-            if all(there.get((k, x), y) == y and back.get((k, y), x) == x for k, x, y in slots) and len({(k, x) for k, x, _ in slots}) == len({(k, y) for k, _, y in slots}) == len(set(slots)):
-                for k, x, y in slots:
-                    there[k, x], back[k, y] = y, x
-                    other |= x != y
-                covered.update(range(at, at + n))
-        return covered, other
-
-
-    def _values(self, t: Templates, i: int, j: int) -> tuple[bytes, bytes]:
-        """Of a slot of the item and of the document. A name behind the same first word of a sentence stands alone."""
-        x, y = self.t.value(i), t.value(j)
-        if self.t.head[i] and t.head[j] and self.t.kind[i] == NAME:
-            (a, *rest), (b, *other) = x.split(None, 1), y.split(None, 1)
-            if a == b and rest and other:
-                return rest[0], other[0]
-        return x, y
+    generic = (literal[at + n] - literal[at] < MIN_LITERAL) | (n < WORDS)
+    return np.where(generic, mix(exact + np.uint64(n)), h), at
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, covered (percent), reparameterised."""
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // (BLOCK_BYTES // 2)) or 1
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, covered long, reparameterised boolean"
-    found = None
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        block = Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])
-        part = docs.select("doc_id", "text").mapInArrow(_finder(block), schema)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _finder(block: Benchmark):
+def _slots(t: Templates, at: int, n: int, places: list[int]) -> bytes:
+    """Place in the window, kind, whether it begins a sentence, and value of each slot."""
+    out = []
+    for i in places:
+        value = t.value(i)
+        out.append(bytes([i - at, t.kind[i] | (4 if t.head[i] else 0)]) + len(value).to_bytes(4, "little") + value)
+    return b"".join(out)
+
+
+def _read_slots(raw: bytes) -> list[tuple[int, int, bytes]]:
+    out, at = [], 0
+    while at < len(raw):
+        size = int.from_bytes(raw[at + 2 : at + 6], "little")
+        out.append((raw[at], raw[at + 1], raw[at + 6 : at + 6 + size]))
+        at += 6 + size
+    return out
+
+
+def _windows(lengths: list[int] | None, bits: np.ndarray | None):
+    """id, key, text -> the windows of each text in each form. Of items (no lengths given): windows of their own length, at most
+    WORDS. Of documents: windows of the given lengths that the bitmap has."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                found = block.find(texts)
-                doc, item, covered, other = zip(*found, strict=True) if found else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(covered, pa.int64()), pa.array(other, pa.bool_())], ["doc_id", "item_id", "covered", "reparameterised"])
+                for form, (names, heads) in enumerate(FORMS):
+                    t = templates(texts, names, heads)
+                    size = np.diff(t.bounds)
+                    slot = np.flatnonzero(t.kind != LITERAL)
+                    for n in lengths or range(1, WORDS + 1):
+                        h, at = template_windows(t, n)
+                        h = mix(h + np.uint64(1000 * form + n))
+                        owner = np.searchsorted(t.bounds, at, "right") - 1
+                        keep = np.minimum(size[owner], WORDS) == n if bits is None else bits[(h & np.uint64(BITS - 1)).astype(np.int64)]
+                        if n < SHORT:
+                            keep = keep & (size[owner] == n)
+                        k = np.flatnonzero(keep)
+                        if not len(k):
+                            continue
+                        h, at, owner = h[k], at[k], owner[k]
+                        a, b = np.searchsorted(slot, at).tolist(), np.searchsorted(slot, at + n).tolist()
+                        slots = [_slots(t, p, n, slot[x:y].tolist()) for p, x, y in zip(at.tolist(), a, b, strict=True)]
+                        own = [part.column(c).take(pa.array(owner)) for c in ("id", "key")]
+                        numbers = [pa.array(np.full(len(k), x, np.int32)) for x in (form, n)]
+                        yield pa.RecordBatch.from_arrays([*own, *numbers, pa.array(at - t.bounds[owner]), pa.array(size[owner].astype(np.int64)), pa.array(h.view(np.int64)), pa.array(slots, pa.binary())], [c.split()[0] for c in _WINDOW.split(", ")])
 
     return run
 
 
+def _bitmap(windows_: DataFrame) -> np.ndarray:
+    """BITS flags, of which those of the windows' hashes are set; packed on the executors."""
+    pieces = 64
+
+    def pack(group: pa.Table) -> pa.Table:
+        flags = np.zeros(BITS // pieces, np.bool_)
+        flags[group.column("bit").to_numpy() % (BITS // pieces)] = True
+        return pa.table({"piece": group.column("piece").slice(0, 1), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    bit = windows_.select(F.expr(f"pmod(hash, {BITS})").alias("bit")).distinct()
+    rows = bit.select("bit", F.expr(f"cast(bit div {BITS // pieces} as int)").alias("piece")).groupBy("piece").applyInArrow(pack, "piece int, flags binary").collect()
+    out = np.zeros(BITS, np.bool_)
+    for r in rows:
+        out[r["piece"] * (BITS // pieces) : (r["piece"] + 1) * (BITS // pieces)] = np.unpackbits(np.frombuffer(bytes(r["flags"]), np.uint8)).astype(np.bool_)
+    return out
+
+
+def _pair(x: tuple[int, int, bytes], y: tuple[int, int, bytes]) -> tuple[int, bytes, bytes]:
+    """(kind, value in the item, value in the document). A name behind the same first word of a sentence stands alone."""
+    kind, head = x[1] & 3, x[1] & y[1] & 4
+    if head and kind == NAME:
+        (a, *rest), (b, *other) = x[2].split(None, 1), y[2].split(None, 1)
+        if a == b and rest and other:
+            return kind, rest[0], other[0]
+    return kind, x[2], y[2]
+
+
+def occurrence(hits: list[tuple[int, int, list[tuple[int, bytes, bytes]]]]) -> tuple[set[int], bool]:
+    """hits: (place in the item, tokens, slots), in order of trust. The item's tokens in windows whose slots agree with each other,
+    and whether a value differs."""
+    covered: set[int] = set()
+    there: dict = {}
+    back: dict = {}
+    other = False
+    for at, n, slots in hits:
+        own, inverse = dict(there), dict(back)
+        if all(own.setdefault((k, x), y) == y and inverse.setdefault((k, y), x) == x for k, x, y in slots):
+            there, back = own, inverse
+            other |= any(x != y for _, x, y in slots)
+            covered.update(range(at, at + n))
+    return covered, other
+
+
+def best_occurrence(hits: list[tuple[int, int, int, list]], size: int) -> tuple[int, bool] | None:
+    """hits: (shift, place in the item, tokens, slots). (percent, reparameterised) of the best occurrence that reaches LEAST."""
+    shifts: dict[int, list] = defaultdict(list)
+    for shift, at, n, slots in hits:
+        shifts[shift].append((at, n, slots))
+    slack, best = max(SLACK, size // SLACK_PART), None
+    for main in sorted(shifts, key=lambda x: (-len(shifts[x]), x)):
+        near = sorted((s for s in range(main - slack, main + slack + 1) if s in shifts), key=lambda s: (abs(s - main), s))
+        own = [h for s in near for h in sorted(shifts[s], key=lambda h: h[0])]
+        if 100 * len({i for at, n, _ in own for i in range(at, at + n)}) < LEAST * size:
+            continue
+        covered, other = occurrence(own)
+        percent = 100 * len(covered) // size
+        if 100 * len(covered) >= LEAST * size and (best is None or (not other, percent) > (not best[1], best[0])):
+            best = percent, other
+    return best
+
+
+def _judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joined windows in order of document, item, form and place -> found items."""
+    key, rows = None, []
+
+    def flush() -> list[tuple]:
+        best, copies = None, 1
+        for form in range(len(FORMS)):
+            own = [r for r in rows if r[0] == form]
+            if not own:
+                continue
+            distinct = dict.fromkeys(r[:5] for r in own)
+            if len(distinct) < len(own):  # repeated rows of a document
+                copies = sum(r[:5] == own[0][:5] for r in own)
+            slots = {r[:5]: r[5:] for r in own}
+            hits = [(at - place, place, n, [_pair(x, y) for x, y in zip(_read_slots(b), _read_slots(a), strict=True)]) for (_, n, at, place, _), (a, b) in slots.items()]
+            if (one := best_occurrence(hits, own[0][4])) and (best is None or (not one[1], one[0]) > (not best[1], best[0])):
+                best = one
+        return [(key[0], key[1], key[3], *best)] * copies if best else []
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
+
+    for batch in batches:
+        found: list[tuple] = []
+        columns = [batch.column(c).to_pylist() for c in ("id", "key", "item_key", "item_id", "form", "n", "at", "place", "size", "slots", "item_slots")]
+        for row in zip(*columns, strict=True):
+            if row[:4] != key:
+                if key is not None:
+                    found += flush()
+                key, rows = row[:4], []
+            rows.append(row[4:])
+        if found:
+            yield batch_of(found)
+    if key is not None and (found := flush()):
+        yield batch_of(found)
+
+
+_FOUND = "doc_id long, key long, item_id long, covered long, reparameterised boolean"
+
+
+def found_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the text), item_id, covered (percent), reparameterised, for each row of docs."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("id"), F.xxhash64("item_id", "text").alias("key"), "text").distinct()
+    known = saved(items.mapInArrow(_windows(None, None), _WINDOW), "items")
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    hits = saved(texts.mapInArrow(_windows(lengths or [WORDS], _bitmap(known)), _WINDOW), "windows").select("id", "key", "form", "n", "at", "hash", "slots")
+    known = known.select("hash", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("at").alias("place"), "size", F.col("slots").alias("item_slots"))
+    joined = skew_join(hits, known, "hash", "at")
+    dealt = joined.repartition("id", "key", "item_key").sortWithinPartitions("id", "key", "item_key", "item_id", "form", "at", "place")
+    return dealt.mapInArrow(_judge, _FOUND)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, covered (percent), reparameterised."""
+    return found_items(docs, benchmark).drop("key")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those in which an item is found; rows keep all their columns, and nothing is shuffled."""
-    items = benchmark.where("text is not null and item_id is not null").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // (BLOCK_BYTES // 2)) or 1
-
-    def keeper(block: Benchmark):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, texts in chunks(batch, "text"):
-                    bad = np.zeros(len(texts), np.bool_)
-                    bad[[f[0] for f in block.find(texts)]] = True
-                    yield part.filter(pa.array(~bad))
-
-        return run
-
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        docs = docs.mapInArrow(keeper(Benchmark([r["item_id"] for r in rows], [r["text"] for r in rows])), docs.schema)
-    return docs
+    """docs without those in which an item is found; rows keep all their columns."""
+    found = found_items(docs, benchmark)
+    gone = saved(found.select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

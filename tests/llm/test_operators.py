@@ -395,6 +395,98 @@ def test_decontamination_of_names_that_begin_sentences(spark):
     assert {(r["doc_id"], r["item_id"]): r["reparameterised"] for r in found.collect()} == {(0, 1): True, (1, 2): True, (2, 1): False}
 
 
+def test_decontamination_of_short_and_numeric_items(spark):
+    items = ["12 34 56 78 90 11 22 33", "Compute 12 15 + 17 19 with 21 22 now", "ab cd ef", "go", ITEM]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(None, "Null ids are found as all the others are."), (4, ITEM)], "item_id long, text string")
+    rows = [(i, f"so {t} and so on", None) for i, t in enumerate(items)]
+    rows += [
+        (10, "12 34 56 78 99 11 22 33", None),
+        (11, "Compute 12 15 + 17 18 with 21 23 now", None),
+        (12, "ab cd eg", None),
+        (13, "GO!", None),
+        (14, "Here null ids are found as all the others are.", None),
+        # One value for several of the item, with and without a word in between.
+        (15, "Tom bought 7 apples for Mary. How many apples does Jim have after 7 days, if Tom eats 7 apples a day?", None),
+        (16, "Tom bought 7 apples for Mary. And how many apples does Jim have after 7 days, if Tom eats 7 apples a day?", None),
+        (17, "Tom bought 7 apples for Mary. And how many apples does Mary have after 4 days, if Tom eats 9 apples a day?", None),
+        # The two halves far from each other.
+        (18, "Tom bought 5 apples for Anna. How many apples " + "x y z " * 50 + "does Anna have after 3 days, if Tom eats 2 apples a day?", None),
+        (19, ITEM, None),
+        (19, ITEM, None),
+        (19, "another text", None),
+        (None, ITEM, None),
+    ]
+    d = frame(spark, rows)
+    got = sorted(((str(r["doc_id"]), str(r["item_id"]), r["reparameterised"]) for r in decontaminate.find_contamination(d, bench).collect()))
+    want = [("0", "0", False), ("1", "1", False), ("2", "2", False), ("4", "4", False), ("13", "3", False), ("14", "None", False), ("17", "4", True), ("19", "4", False), ("19", "4", False), ("None", "4", False)]
+    assert got == sorted(want)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in decontaminate.drop_contaminated(d, bench).collect())
+    bad = {i for i, *_ in want} - {"19", "None"}
+    assert kept == sorted((str(i), t) for i, t, _ in rows if str(i) not in bad and t != ITEM)
+
+
+def brute_tokens(text, names, heads):
+    """Templates in plain Python, for ASCII texts: (kind, word, begins a sentence)."""
+    out = []
+    for m in re.finditer(r"[0-9](?:[0-9]|[.,](?=[0-9]))*(?=[A-Za-z])|(?:[0-9A-Za-z]|(?<=[0-9])[.,](?=[0-9]))+", text):
+        w, before = m[0], text[out[-1][3] if out else 0 : m.start()]
+        head = not out or any(c in ".!?:\n" for c in before)
+        kind = 0
+        if w[0].isdigit():
+            kind = 1
+        elif out and out[-1][0] == 1 and w.lower() in decontaminate.UNITS:
+            kind = 2
+        elif w[0].isupper() and names and (heads or not head):
+            kind = 3
+        if kind == 3 and out and out[-1][0] == 3 and not head:
+            out[-1] = (3, text[out[-1][4] : m.end()].lower(), out[-1][2], m.end(), out[-1][4])
+        else:
+            out.append((kind, w.lower(), head, m.end(), m.start()))
+    return [x[:3] for x in out]
+
+
+def brute_found(text, item):
+    """Whether an item is in a text, by all pairs of windows."""
+    n = decontaminate.WORDS
+    for form in decontaminate.FORMS:
+        d, b = brute_tokens(text, *form), brute_tokens(item, *form)
+        if len(b) < n:
+            continue
+        hits = []
+        for i in range(len(b) - n + 1):
+            for j in range(len(d) - n + 1):
+                x, y = b[i : i + n], d[j : j + n]
+                generic = sum(k == 0 for k, *_ in x) < decontaminate.MIN_LITERAL
+                if [(k, w if generic or not k else "") for k, w, _ in x] == [(k, w if generic or not k else "") for k, w, _ in y]:
+                    hits.append((j - i, i, n, [decontaminate._pair((0, p[0] | 4 * p[2], p[1].encode()), (0, q[0] | 4 * q[2], q[1].encode())) for p, q in zip(x, y) if p[0]]))
+        if decontaminate.best_occurrence(hits, len(b)):
+            return True
+    return False
+
+
+def test_decontamination_against_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = "the a of box apple red how many takes out day has left in is boy".split()
+    names = ["Tom", "Anna", "Jim", "Eve"]
+
+    def sentence(k):
+        return " ".join(rng.choice([*rng.choices(vocabulary, k=8), rng.choice(names), str(rng.randint(1, 99)), f"{rng.randint(1, 9)} kg"]) for _ in range(k)) + rng.choice(".?")
+
+    items = [" ".join(sentence(rng.randint(6, 12)) for _ in range(rng.randint(1, 3))) for _ in range(25)]
+
+    def changed(t):
+        who = dict(zip(names, rng.sample(names, 4)))
+        t = re.sub("|".join(names), lambda m: who[m[0]] if rng.random() < 0.97 else "Zoe", t)
+        t = re.sub("[0-9]+", lambda m: str(int(m[0]) + 7) if rng.random() < 0.9 else m[0], t)
+        return t if rng.random() < 0.5 else t.replace(" ", " well ", 1)
+
+    texts = [sentence(20) + " " + changed(rng.choice(items)) + " " + sentence(9) for _ in range(60)] + [sentence(40) for _ in range(30)] + items[:5]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(frame(spark, [(i, t, None) for i, t in enumerate(texts)]), bench).collect()}
+    want = {(i, j) for i, t in enumerate(texts) for j, b in enumerate(items) if brute_found(t, b)}
+    assert got == want and 20 < len({i for i, _ in got}) < 90
+
+
 def der(tag, body):
     n = len(body)
     return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body

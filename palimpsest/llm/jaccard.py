@@ -53,7 +53,7 @@ from palimpsest.llm.words import combine, mix, split, windows
 WORDS, PERCENT = 3, 90
 #: Shingles of one block of a region, pivots of one step of its recursion, steps as jobs, and how much larger than a
 #: region its cells may be together.
-BLOCK_SHINGLES, PIVOTS, STEPS, GROWTH = 1 << 21, 6, 8, 1.5
+BLOCK_SHINGLES, PIVOTS, STEPS, GROWTH = 1 << 17, 6, 8, 1.5
 #: Shingles that a shard of parts stands for; bounds its task's memory.
 SHARD_SHINGLES = 4 << 20
 #: Shared parts from which two pivots' regions are joined as one.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import lzma
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -75,6 +76,24 @@ def unpack(raw: bytes) -> bytes:
     return code.decompress(raw[32 : 32 + packed], plain)
 
 
+def pack(data: bytes, dictionary: int = 1 << 20) -> bytes:
+    """An archive of one file, in the form that unpack reads."""
+
+    def number(n: int) -> bytes:
+        more = next(k for k in range(9) if n < 1 << 7 * (k + 1) or k == 8)
+        first = (0xFF << (8 - more) & 0xFF) | (n >> 8 * more if more < 8 else 0)
+        return bytes([first]) + (n & (1 << 8 * more) - 1).to_bytes(more, "little")
+
+    filters = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": dictionary}]
+    packed = lzma.compress(data, lzma.FORMAT_RAW, filters=filters)
+    properties = bytes([2 * 45 + 3]) + struct.pack("<I", dictionary)
+    streams = bytes([_PACK]) + number(0) + number(1) + b"\x09" + number(len(packed)) + bytes([_END])
+    folder = bytes([_FOLDERS, _FOLDER]) + number(1) + b"\0" + number(1) + b"\x23" + _LZMA1 + number(len(properties)) + properties
+    header = bytes([0x01, _MAIN]) + streams + folder + bytes([_SIZES]) + number(len(data)) + bytes([_END] * 3)
+    start = struct.pack("<QQI", len(packed), len(header), zlib.crc32(header))
+    return MAGIC + b"\0\4" + struct.pack("<I", zlib.crc32(start)) + start + packed + header
+
+
 def read_7z(spark: SparkSession, path: str) -> DataFrame:
     """path, line: the lines of each archive. An archive is one task; write the result as Parquet and go on from there."""
 

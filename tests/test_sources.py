@@ -1,7 +1,5 @@
 import datetime as dt
 import gzip
-import lzma
-import struct
 import zlib
 
 import pytest
@@ -102,23 +100,13 @@ def test_loaders(spark):
         links.load_links(rows(["1"]), "pagelinks").collect()
 
 
-def number(n):
-    return bytes([n]) if n < 0x80 else bytes([0x80 | n >> 8, n & 0xFF])
-
-
-def seven(data: bytes) -> bytes:
-    filters = [{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 16}]
-    packed = lzma.compress(data, lzma.FORMAT_RAW, filters=filters)
-    properties = bytes([2 * 45 + 3]) + struct.pack("<I", 1 << 16)
-    header = b"\x01\x04\x06" + number(0) + number(1) + b"\x09" + number(len(packed)) + b"\x00\x07\x0b\x01\x00\x01\x23\x03\x01\x01\x05" + properties + b"\x0c" + number(len(data)) + b"\x00\x00\x00"
-    return sevenzip.MAGIC + b"\0\4" + struct.pack("<I", 0) + struct.pack("<QQI", len(packed), len(header), zlib.crc32(header)) + packed + header
-
-
 def test_seven_zip(spark, tmp_path):
     data = "\n".join(f"line {i} é" for i in range(900)).encode()
-    assert sevenzip.unpack(seven(data)) == data
-    (tmp_path / "x.7z").write_bytes(seven(data))
+    assert sevenzip.unpack(sevenzip.pack(data)) == data
+    (tmp_path / "x.7z").write_bytes(sevenzip.pack(data))
     assert [r["line"] for r in sevenzip.read_7z(spark, str(tmp_path / "x.7z")).collect()] == data.decode().split("\n")
+    large = bytes(range(256)) * 3000
+    assert sevenzip.unpack(sevenzip.pack(large)) == large and sevenzip.unpack(sevenzip.pack(b"")) == b""
     with pytest.raises(ValueError):
         sevenzip.unpack(b"PK")
 

@@ -411,7 +411,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = placed.select("pivot", "rep", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
     texts = docs.join(placed.hint("shuffle_hash"), docs["doc_id"] == placed["rep"]).select("pivot", "bi", "bj", "rep", "text")
     dealt = texts.repartition("pivot", "bi", "bj").sortWithinPartitions("pivot", "bi", "bj", "rep")
-    links = links.unionByName(dealt.mapInArrow(_join(words, percent), "a long, b long"))
+    # Written once: the steps below read the links twice.
+    links = saved(links.unionByName(dealt.mapInArrow(_join(words, percent), "a long, b long")), "links")
     classes = components(links).select(F.col("node").alias("rep"), "component")
     named = reps.select("s1", "s2", "rep").join(classes.hint("merge"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     found = known.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")

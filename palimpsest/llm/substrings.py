@@ -12,7 +12,8 @@ One suffix array over a corpus cannot be dealt out, and most of a corpus is uniq
    whose permuted common prefix reaches LENGTH hold the same string.
 4. Each group gets its verdicts, removes the covered bytes and digests the rest.
 
-Everything between tasks is packed arrays: about 5 bytes per anchor, and the contexts, compressed. The texts are
+The number of groups and shards follows the bytes of the texts. Everything between tasks is packed arrays: about 5 bytes
+per anchor, and the contexts, compressed. The texts are
 shuffled once (compressed): all three stages read the same exchange.
 
 Defined cases. Null text: empty. Texts below LENGTH bytes: nothing is removed. Equal doc_ids: none is smaller, so neither
@@ -31,6 +32,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm.common import chunks, partitions, strings, table
 from palimpsest.llm.suffix import permuted_lcp, suffix_array
@@ -40,6 +42,8 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of the texts of one packed row, of one suffix array, and of the texts whose anchors are found at once.
 PACK_BYTES, SHARD_BYTES, STEP_BYTES = 8 << 20, 1 << 19, 1 << 19
+#: Bytes of the texts of one group; bounds a task's memory at every size of the corpus.
+GROUP_BYTES = 16 << 20
 _LAST = np.uint64((1 << 64) - 1)
 _NO_ID = (1 << 63) - 1
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -223,7 +227,7 @@ def _contexts(shards: int):
         new = np.append(True, digest[1:] != digest[:-1]) if len(h) else np.zeros(0, np.bool_)
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        later = unit > unit[first][group] if len(h) else new
+        later = units.first[unit] > units.first[unit[first]][group] if len(h) else new
         # One context of each kind is sent, in text order within its shard.
         shard = _shard(h[first], shards)
         sent = np.lexsort((low[first], shard))
@@ -343,7 +347,8 @@ def _remove(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    shards = groups = 2 * partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = groups = max(2 * partitions(docs.sparkSession), size // GROUP_BYTES)
     dealt = docs.select("doc_id", "text").mapInArrow(_deal(groups), _ROW)
     said = dealt.groupBy("q").applyInArrow(_announce(shards), _ROW)
     answers = said.groupBy("p").applyInArrow(_answer, _ROW)

@@ -220,6 +220,32 @@ def test_repeats_are_removed(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 30, 200])
+def test_repeats_of_equal_and_null_doc_ids(spark, monkeypatch, size):
+    """The result does not depend on the number of groups."""
+    monkeypatch.setattr(substrings, "GROUP_BYTES", size)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(12))
+    own = [" ".join(word() for _ in range(9)) for _ in range(12)]
+    rows = [(1, f"{own[k]} {passage} {own[k][::-1]}") for k in range(6)]
+    rows += [(0, own[6]), (2, passage), (2, own[7] + passage), (None, "x" + passage), (None, own[8] + " " + passage), (3, own[6]), (None, own[9]), (3, own[6]), (4, "z" * 49), (5, "z" * 49)]
+    first = {}
+    key = lambda i: (i is None, i or 0)
+    for i, text in rows:
+        for k in range(len(text) - 49):
+            first[text[k : k + 50]] = min(first.get(text[k : k + 50], key(i)), key(i))
+    want = []
+    for i, text in rows:
+        gone = bytearray(len(text))
+        for k in range(len(text) - 49):
+            if first[text[k : k + 50]] < key(i):
+                gone[k : k + 50] = b"\1" * 50
+        want.append((i, len(text), sum(gone), hashlib.sha256("".join(c for c, g in zip(text, gone) if not g).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(frame(spark, [(i, x, None) for i, x in rows])).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def base_rules(t):
     w = WORD.findall(t or "")
     tri = list(zip(w, w[1:], w[2:]))

@@ -68,7 +68,7 @@ def open_session(spark: SparkSession, base: str, fixups: str | None = None) -> W
         subcat=sub.join(names, "from_id").select(F.col("title").alias("parent"), F.col("name").alias("child")),
         catarticle=members,
         templatelink=found["templatelinks"].select(F.col("from_id").alias("page_id"), F.col("title").alias("template")),
-        pagelink=found["pagelinks"].select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")),
+        pagelink=found["pagelinks"].select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("ns").alias("dst_ns"), F.col("title").alias("dst_title")),
         extlink=links.load_links(raw("externallinks"), "externallinks").select(F.col("from_id").alias("page_id"), "url"),
     )
     return WikiSession(spark, tables)

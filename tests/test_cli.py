@@ -31,4 +31,5 @@ def test_browse(spark, tmp_path):
     (tmp_path / "fix").write_text("-cat|B|Category:Top\n")
     s = cli.open_session(spark, f"{tmp_path}/w")
     assert s.command("= category top") == 2 and s.command("* template stub") == 1 and s.command("? pagelink 4") == 1
+    assert s.command("? pagelink Gone") == 1 and s.command("? pagelink B") == 1 and s.command("wantedarticles") == [("0:Gone", 1)]
     assert cli.open_session(spark, f"{tmp_path}/w", f"{tmp_path}/fix").command("= category top") == 1

@@ -36,6 +36,15 @@ def test_commands(session):
     assert do("- template stub") == 2
     assert do("* pagelink 2") == 1
     assert do("? pagelink 99") == 1  # a missing page can be a target
+    assert do("? pagelink B 1") == 2
+    for line in ("? pagelink Nowhere", "? category Nowhere", "? template Nowhere", "? ns nowhere", "page Nowhere"):
+        with pytest.raises(ValueError, match="no such"):
+            do(line)
+    assert do("page A 2") == ["Sub", "Top"] and do("page B 1") == ["(uncategorized)"]
+    assert do("category top") == {"above": ["Sub"], "below": ["Sub"], "pages": 1}
+    assert do("wantedarticles") == [(99, 1)] and do("wantedarticles 1") == [(99, 1)]
+    assert do("cycles") == [(2, ["s", "t"])]
+    assert do("furthestfrom B 1") == [(1, 1), (1, 3)] and do("longestpaths") == [(2, [1, 2, 99]), (2, [3, 2, 99])]
     assert do("~ extlink http") == 1
     assert do("get x") and do("count") == 2  # a snapshot
     assert do("sort [0-9]+") and do("list") == ["B_1", "A_2"]

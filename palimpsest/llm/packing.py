@@ -1,19 +1,22 @@
 """Packing by lexical retrieval: each window starts with a seed document and is filled with its BM25 neighbours.
 
-1. Tokenise every whole text once, into a table in the shared folder. Each task also leaves, in the same table, how
-   many of its documents hold each token id, and how many tokens fall to each of ROUTES routing values (a min-hash
-   of a document's ids, so that like documents mostly get the same one). Both are of fixed size.
-2. Shards of about SHARD_TOKENS tokens: consecutive routing values share a shard, a value above that size is
-   split by a hash of doc_id, so that a group of copies of any size is dealt out.
+1. Tokenise every whole text once, into a table in the shared folder, with a routing value: a min-hash of 63 bits of a
+   document's id pairs, so that like documents have the same one with the probability of their resemblance, however many
+   documents there are. Each task also leaves, in the same table, how many of its documents hold each token id, and
+   how many tokens it saw. Both are of fixed size.
+2. The table is ordered by routing value, then by a hash of the document, over as many tasks as it has SHARD_TOKENS
+   tokens, so that a group of copies of any size is dealt out. A task cuts its rows into shards of about that size; what
+   the last window of one holds, if not full, goes to the next.
 3. Each shard builds an inverted index with BM25 weights from the document frequencies of all documents. A document
    of a window or more fills windows of its own; what is left of it joins the rest. Seeds, longest first, query
    with all their ids; unused neighbours, best first, fill the window. The last one is cut where
    the window ends and its remainder goes back. Without neighbours the next unused document is taken. So only the last
-   window of a shard is not full. A seed sees its own shard only.
+   window of a task is not full. A seed sees its own shard only.
 
 Sequences are padded to the window, unless their length is a power of two.
 
-Defined cases. Null or empty text: the end id alone. Repeated rows and copies: each is packed. Ties: smaller doc_id.
+Defined cases. Null or empty text: the end id alone. Repeated rows and copies: each is packed. Ties: smaller
+routing value, then smaller doc_id.
 Texts longer than a window: cut, every id in one piece. Null doc_id: packed like others. Extra columns are ignored.
 Empty table: no rows.
 """
@@ -26,6 +29,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +38,7 @@ from palimpsest.llm.tokens import WordTokenizer
 from palimpsest.llm.words import mix
 
 WINDOW, END_ID, VOCABULARY = 4096, 2, 1 << 16
-SHARD_TOKENS, ROUTES = 3_000_000, 1 << 14
+SHARD_TOKENS = 3_000_000
 K1, B = 1.2, 0.75
 #: Ids that more than one in so many documents of a shard hold are kept as whole rows of weights.
 DENSE = 8
@@ -54,7 +58,7 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _KEPT.setdefault(tokenizer, None) or WordTokenizer(tokenizer)
         _KEPT[tokenizer] = coder
-        held, weight = np.zeros(VOCABULARY, np.int64), np.zeros(ROUTES, np.int64)
+        held = np.zeros(VOCABULARY + _PIECES, np.int64)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 ids, bounds = coder.encode(texts)
@@ -65,42 +69,24 @@ def tokenise(docs: DataFrame, tokenizer: str) -> DataFrame:
                 pair = order.copy()
                 pair[:-1] = mix(order[:-1] + np.uint64(3) * order[1:])
                 pair[bounds[1:] - 1] |= np.uint64(1 << 63)
-                route = (mix(np.minimum.reduceat(pair, bounds[:-1])) % np.uint64(ROUTES)).astype(np.int64)
-                weight += np.bincount(route, np.diff(bounds), ROUTES).astype(np.int64)
+                route = (mix(np.minimum.reduceat(pair, bounds[:-1])) >> np.uint64(1)).astype(np.int64)
+                held[VOCABULARY] += len(ids)
                 raw = []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     held[np.unique(ids[a:b])] += 1
                     raw.append(ids[a:b].tobytes())
                 n = len(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(route.astype(np.int32)), pa.array(raw, pa.binary())], ["kind", "doc_id", "route", "ids"])
-        every = np.split(np.concatenate([held, weight]), _PIECES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(_PIECES, np.int32)), pa.nulls(_PIECES, pa.int64()), pa.array(np.arange(_PIECES, dtype=np.int32)), pa.array([x.tobytes() for x in every], pa.binary())], ["kind", "doc_id", "route", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(route), pa.array(raw, pa.binary())], ["kind", "doc_id", "route", "ids"])
+        every = np.split(held, _PIECES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(_PIECES, np.int32)), pa.nulls(_PIECES, pa.int64()), pa.array(np.arange(_PIECES)), pa.array([x.tobytes() for x in every], pa.binary())], ["kind", "doc_id", "route", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, route int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, route long, ids binary")
 
 
 def _add(piece: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"route": [piece["route"].iloc[0]], "ids": [sum(np.frombuffer(x, np.int64) for x in piece["ids"]).tobytes()]})
 
 
-def shard_plan(weight: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first shard, number of shards) of each routing value."""
-    first, split = np.zeros(len(weight), np.int64), np.ones(len(weight), np.int64)
-    shard = filled = 0
-    for route, w in enumerate(weight.tolist()):
-        if w > target:
-            if filled:
-                shard, filled = shard + 1, 0
-            first[route], split[route] = shard, -(-w // target)
-            shard += split[route]
-            continue
-        if filled and filled + w > target:
-            shard, filled = shard + 1, 0
-        first[route] = shard
-        filled += w
-    return first, split
-
-
 class _Index:
     """A shard's inverted index."""
 
@@ -180,47 +166,49 @@ def _then(seed: int, near: list[int], order: np.ndarray, at: int, left: np.ndarr
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded_to."""
     coded = saved(tokenise(docs, tokenizer or default_tokenizer()), "tokens")
-    counts = np.zeros(VOCABULARY + ROUTES, np.int64)
-    for r in coded.where("kind = 1").select("route", "ids").groupBy("route").applyInPandas(_add, "route int, ids binary").collect():
+    counts = np.zeros(VOCABULARY + _PIECES, np.int64)
+    for r in coded.where("kind = 1").select("route", "ids").groupBy("route").applyInPandas(_add, "route long, ids binary").collect():
         part = np.frombuffer(bytes(r["ids"]), np.int64)
         counts[r["route"] * len(part) : (r["route"] + 1) * len(part)] = part
-    held, weight = counts[:VOCABULARY], counts[VOCABULARY:]
+    held, tokens_seen = counts[:VOCABULARY], int(counts[VOCABULARY])
     total = int(held[END_ID])  # every document has the end id
-    mean = weight.sum() / max(total, 1)
-    first, split = shard_plan(weight, SHARD_TOKENS)
-    shards = int((first + split).max())
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            route = b.column("route").to_numpy()
-            doc = mix(b.column("doc_id").fill_null(-1).to_numpy().astype(np.uint64))
-            shard = first[route] + (doc % split[route].astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("doc_id"), b.column("ids")], ["shard", "doc_id", "ids"])
+    mean, target = tokens_seen / max(total, 1), SHARD_TOKENS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, names, docs = None, [], []
+        held_back: list[tuple[int | None, np.ndarray, int]] = []  # (doc_id, ids, first id not packed)
+        first, filled = TaskContext.get().partitionId() << 32, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not docs:
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal first, filled, held_back
+            if not held_back:
                 return
-            rows = np.array(pack_shard(docs, held, total, mean, window), np.int64)
-            crc = [zlib.crc32(docs[i][s : s + n].astype("<u4").tobytes()) for i, s, n in rows[:, :3].tolist()]
-            tokens = np.bincount(rows[:, 3], rows[:, 2]).astype(np.int64)[rows[:, 3]]
-            own = np.array([len(d) for d in docs], np.int64)[rows[:, 0]]
-            padded = np.where(tokens & (tokens - 1) == 0, tokens, window)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64()).take(pa.array(rows[:, 0])), "start": rows[:, 1], "length": rows[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": own, "sequence_id": (shard << 32) + rows[:, 3], "offset": rows[:, 4], "sequence_tokens": tokens, "padded_to": padded})
+            rows = np.array(pack_shard([d[at:] for _, d, at in held_back], held, total, mean, window), np.int64)
+            tokens = np.bincount(rows[:, 3], rows[:, 2]).astype(np.int64)
+            full = rows[:, 3] < len(tokens) - (not last and tokens[-1] < window)
+            later = [(held_back[i][0], held_back[i][1], held_back[i][2] + s) for i, s in rows[~full, :2].tolist()]
+            rows = rows[full]
+            if len(rows):
+                of = rows[:, 0]
+                starts = rows[:, 1] + np.array([at for _, _, at in held_back], np.int64)[of]
+                crc = [zlib.crc32(held_back[i][1][s : s + n].astype("<u4").tobytes()) for i, s, n in zip(of.tolist(), starts.tolist(), rows[:, 2].tolist(), strict=True)]
+                long = tokens[rows[:, 3]]
+                own = np.array([len(d) for _, d, _ in held_back], np.int64)[of]
+                padded = np.where(long & (long - 1) == 0, long, window)
+                names = pa.array([name for name, _, _ in held_back], pa.int64()).take(pa.array(of))
+                yield pa.RecordBatch.from_pydict({"doc_id": names, "start": starts, "length": rows[:, 2], "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": own, "sequence_id": first + rows[:, 3], "offset": rows[:, 4], "sequence_tokens": long, "padded_to": padded})
+                first += int(rows[:, 3].max()) + 1
+            held_back, filled = later, sum(len(d) - at for _, d, at in later)
 
         for b in batches:
-            for k, name, ids in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                if k != shard:
-                    yield from flush()
-                    shard, names, docs = k, [], []
-                names.append(name)
-                docs.append(np.frombuffer(ids, np.uint16))
-        yield from flush()
-
-    placed = coded.where("kind = 0").select("doc_id", "route", "ids").mapInArrow(place, "shard long, doc_id long, ids binary")
-    dealt = placed.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", F.crc32("ids"))
+            for name, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+                held_back.append((name, np.frombuffer(ids, np.uint16), 0))
+                filled += len(held_back[-1][1])
+                if filled >= target:
+                    yield from flush(False)
+        yield from flush(True)
+
+    coded_docs = coded.where("kind = 0").select("route", "doc_id", "ids")
+    dealt = coded_docs.repartitionByRange(max(1, -(-tokens_seen // target)), "route", F.xxhash64("doc_id", "ids")).sortWithinPartitions("route", "doc_id", F.crc32("ids"))
     kinds = ", ".join(f"{k} long" for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_to"))
     return dealt.mapInArrow(run, kinds)
 

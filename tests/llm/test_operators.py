@@ -354,6 +354,19 @@ def test_packing_round_trip(docs, empty, monkeypatch):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_copies_meet_in_any_number_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 500)
+    texts = [" ".join(f"{chr(97 + (i * 7 + j * (i + 3)) % 26)}{chr(97 + (i + j * j) % 26)}" for j in range(30)) for i in range(60)]
+    rows = [(2 * i + k, t) for i, t in enumerate(texts) for k in (0, 1)]
+    made = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), window=128).collect()
+    shards: dict[int, set] = {}
+    for r in made:
+        shards.setdefault(r["doc_id"], set()).add(r["sequence_id"] >> 32)
+    assert len(set.union(*shards.values())) > 8
+    together = sum(bool(shards[2 * i] & shards[2 * i + 1]) for i in range(60))
+    assert together >= 45  # apart only where a shard ends between the two
+
+
 def test_packing_takes_neighbours():
     held = np.ones(packing.VOCABULARY, np.int64)
     docs = [np.array([10 + k % 2 * 50 + j for j in range(20)] + [2], np.uint16) for k in range(8)]

@@ -6,6 +6,7 @@ distinct text."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,21 +58,36 @@ def between(history: DataFrame, first: Column | None = None, last: Column | None
 
 
 def blame(history: DataFrame, wrap: int | None = None, index_first: bool = False) -> DataFrame:
-    """history: page_id, rev_seq, contributor, text. page_id, line_no, line, rev_no (from 1), rev_seq, contributor."""
+    """history: page_id, rev_seq, contributor, text. page_id, line_no, line, rev_no (from 1), rev_seq, contributor; also ts
+    and minor of the revision where the history has them."""
+    extra = [f for f in history.schema.fields if f.name in ("ts", "minor")]
 
     def run(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("rev_seq", kind="stable").reset_index(drop=True)
         lines = fold([t or "" for t in page["text"]], wrap, index_first)
         at = [n for _, n in lines]
-        return pd.DataFrame({"page_id": page["page_id"].iloc[0], "line_no": range(1, len(lines) + 1), "line": [x for x, _ in lines], "rev_no": [n + 1 for n in at], "rev_seq": page["rev_seq"].iloc[at].to_numpy(), "contributor": page["contributor"].iloc[at].to_numpy()})
+        return pd.DataFrame({"page_id": page["page_id"].iloc[0], "line_no": range(1, len(lines) + 1), "line": [x for x, _ in lines], "rev_no": [n + 1 for n in at], "rev_seq": page["rev_seq"].iloc[at].to_numpy(), "contributor": page["contributor"].iloc[at].to_numpy(), **{f.name: page[f.name].iloc[at].to_numpy() for f in extra}})
 
-    return history.select("page_id", "rev_seq", "contributor", "text").groupBy("page_id").applyInPandas(run, "page_id long, line_no int, line string, rev_no int, rev_seq long, contributor string")
+    kinds = ", ".join(["page_id long, line_no int, line string, rev_no int, rev_seq long, contributor string", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)])
+    return history.select("page_id", "rev_seq", "contributor", "text", *(f.name for f in extra)).groupBy("page_id").applyInPandas(run, kinds)
+
+
+def first_page(history: DataFrame) -> DataFrame:
+    """The revisions of the smallest page_id alone."""
+    return history.join(history.agg(F.min("page_id").alias("page_id")), "page_id", "left_semi")
+
+
+def named(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """lines with the names of their contributors; names: contributor, name."""
+    known = names.select("contributor", "name")
+    return lines.join(known, "contributor", "left").withColumn("contributor", F.coalesce("name", "contributor")).drop("name")
 
 
 def contributors(lines: DataFrame) -> DataFrame:
     """page_id, contributor, lines, first_rev and last_rev (of its first and last line in the text), place (1 for most
-    lines; ties by first_rev, then name)."""
-    found = lines.groupBy("page_id", "contributor").agg(F.count("*").alias("lines"), F.min_by("rev_seq", "line_no").alias("first_rev"), F.max_by("rev_seq", "line_no").alias("last_rev"))
+    lines; ties by first_rev, then name); with ts in the lines also first_edit and last_edit, the times of the two."""
+    times = [F.min_by("ts", "line_no").alias("first_edit"), F.max_by("ts", "line_no").alias("last_edit")] if "ts" in lines.columns else []
+    found = lines.groupBy("page_id", "contributor").agg(F.count("*").alias("lines"), F.min_by("rev_seq", "line_no").alias("first_rev"), F.max_by("rev_seq", "line_no").alias("last_rev"), *times)
     place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("lines"), "first_rev", "contributor"))
     return found.withColumn("place", place)
 
@@ -84,16 +100,26 @@ def reverts(history: DataFrame) -> DataFrame:
 
 
 def blame_text(lines: DataFrame) -> DataFrame:
-    """value: one printable row per line."""
+    """value: one printable row per line: number, time and minor mark of its revision (the place in the history where no
+    times are known), contributor, the line trimmed."""
+    if "ts" in lines.columns:
+        minor = F.when(F.col("minor"), "m").otherwise(" ") if "minor" in lines.columns else F.lit(" ")
+        time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        return lines.select(F.format_string("%8d\t  %-20s\t%s %-30s\t%s", "rev_no", time, minor, "contributor", F.regexp_replace("line", r"^\s+|\s+$", "")).alias("value"))
     return lines.select(F.format_string("%8d\t%-20s\t%-30s\t%s", "rev_no", F.col("rev_seq").cast("string"), "contributor", F.regexp_replace("line", "\n$", "")).alias("value"))
 
 
 def blame_html(lines: DataFrame, page_id: int) -> str:
-    """The lines of one page as HTML, with a legend of its contributors."""
+    """The lines of one page as HTML, with a legend of its contributors; a span for each run of lines of one revision."""
     own = lines.where(F.col("page_id") == page_id)
     legend = contributors(own).select("place", html_escape(F.col("contributor")).alias("name"), "lines").orderBy("place").collect()
     place = {r["name"]: r["place"] for r in legend}
-    body = [f'<span class="u{place[r["name"]]}" title="{r["rev_no"]}">{r["line"]}</span>' for r in own.select("line_no", "rev_no", html_escape(F.col("contributor")).alias("name"), html_escape(F.col("line")).alias("line")).orderBy("line_no").collect()]
+    when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss") if "ts" in lines.columns else F.lit(None).cast("string")
+    rows = own.select("line_no", "rev_no", html_escape(F.col("contributor")).alias("name"), html_escape(F.col("line")).alias("line"), when.alias("ts")).orderBy("line_no").collect()
+    body = []
+    for (number, name, ts), run in groupby(rows, key=lambda r: (r["rev_no"], r["name"], r["ts"])):
+        title = " ".join(x for x in (str(number), ts) if x)
+        body.append(f'<span class="u{place[name]}" title="{title}">{"".join(r["line"] for r in run)}</span>')
     items = "".join(f'<li class="u{r["place"]}">{r["name"]}: {r["lines"]}</li>' for r in legend)
     return f"<html><body><ul>{items}</ul><pre>{''.join(body)}</pre></body></html>"
 

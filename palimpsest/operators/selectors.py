@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.titles import TEMPLATE
 from palimpsest.operators.graph import closure
 
 
@@ -51,8 +52,12 @@ def duplicates_in_category(t: WikiTables, roots: DataFrame) -> DataFrame:
     return members.groupBy("page").count().where("count > 1").select(F.col("page").alias("page_id"))
 
 
-def with_template(t: WikiTables, template: str) -> DataFrame:
-    return t.templatelink.where(F.col("template") == template).select("page_id").distinct()
+def with_template(t: WikiTables, template: str, ns: int = TEMPLATE) -> DataFrame:
+    """The namespace counts where the link table has a column template_ns."""
+    found = t.templatelink.where(F.col("template") == template)
+    if "template_ns" in t.templatelink.columns:
+        found = found.where(F.col("template_ns") == ns)
+    return found.select("page_id").distinct()
 
 
 def linking_to(t: WikiTables, dst: int) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions.titles import NAMESPACES, display_title, parse_title
+from palimpsest.functions.titles import NAMESPACES, TEMPLATE, display_title, parse_title
 from palimpsest.operators import graph, links, selectors
 from palimpsest.operators.selectors import WikiTables
 
@@ -19,9 +20,11 @@ HELP = (
 
 
 class WikiSession:
-    """Sets are lazy and immutable; only count, list and popular run anything. A stored set is a snapshot."""
+    """Sets are lazy and immutable; only count, list and popular run anything. A stored set is a snapshot.
 
-    def __init__(self, spark: SparkSession, tables: WikiTables, views: DataFrame | None = None, legacy_regex_normalise: bool = False):
+    views: project, page_id, views; or a function from projects to page_id, views."""
+
+    def __init__(self, spark: SparkSession, tables: WikiTables, views: DataFrame | Callable[[list[str]], DataFrame] | None = None, legacy_regex_normalise: bool = False):
         self.spark, self.tables, self.views, self.legacy = spark, tables, views, legacy_regex_normalise
         self.current = tables.page.select("page_id").limit(0)
         self.variables: dict[str, DataFrame] = {}
@@ -39,6 +42,12 @@ class WikiSession:
             value = int(argument) if re.fullmatch(r"[+-]?\d+", argument) else numbers[argument.lower()]
         elif word == "pagelink":
             return self.linking_to(argument)
+        elif word == "template" and "template_ns" in self.tables.templatelink.columns:
+            ns, title = self.split_title(argument if ":" in argument else f"{NAMESPACES[TEMPLATE]}:{argument}")
+            found = selectors.with_template(self.tables, title, ns)
+            if found.isEmpty():
+                raise ValueError(f"no such template {argument}")
+            return found
         elif word not in ("extlink", "categoryre", "catre") or self.legacy:
             value = argument.replace(" ", "_")
             value = value[:1].upper() + value[1:]
@@ -126,7 +135,8 @@ class WikiSession:
         """page_id, views of the current set, most viewed first, none without views."""
         if self.views is None:
             raise ValueError("no page views are loaded")
-        views = self.views.where(F.col("project").isin(*projects)).groupBy("page_id").agg(F.sum("views").alias("views"))
+        views = self.views(projects) if callable(self.views) else self.views.where(F.col("project").isin(*projects))
+        views = views.groupBy("page_id").agg(F.sum("views").alias("views"))
         rows = self.current.join(views, "page_id", "left").select("page_id", F.coalesce("views", F.lit(0)).alias("views")).where("views > 0").orderBy(F.desc("views"), "page_id")
         return rows.limit(n) if n else rows
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where none is set (tests, one machine)."""
+    """spark.checkpoint.dir, or a temporary folder on one machine where none is set (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

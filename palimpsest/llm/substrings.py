@@ -291,7 +291,7 @@ def _suffix_verdicts(data: np.ndarray, start: np.ndarray, size: np.ndarray, doc:
         source = np.minimum(start[a:b][owner] + inside, len(data) - 1)
         text = data[source].astype(np.int64) + 2
         text[base + n - 1] = 1
-        order = suffix_array(text, LENGTH)
+        order = suffix_array(text)
         whole = inside + LENGTH <= size[a:b][owner]
         order = order[whole[order]]
         plcp = permuted_lcp((text - 2).astype(np.uint8), order, LENGTH)

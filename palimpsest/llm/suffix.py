@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, one bucket at a time with array operations, and capped permuted common prefixes."""
+"""Suffix arrays by induced sorting, recursively, and capped permuted common prefixes."""
 
 from __future__ import annotations
 
@@ -6,13 +6,13 @@ import numpy as np
 
 from palimpsest.llm.words import hash_ranges
 
-#: Reduced strings of at most so many names are sorted by induction again, others by doubling ranks.
-INDUCE_NAMES = 1 << 10
+#: With fewer values a bucket than this, suffixes are induced one at a time, otherwise a bucket at a time by array operations.
+BUCKET = 256
 
 
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of s in order; s holds integers above 0. With depth, suffixes that agree on their first
-    depth values may stand in any order among themselves."""
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of s in order; s holds integers above 0. Leftmost-smaller substrings are sorted by induction
+    and named; where names repeat, the string of names is sorted in the same way."""
     s = np.append(np.asarray(s, np.int64), 0)
     n = len(s)
     if n < 3:
@@ -39,30 +39,11 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
         if name[-1] + 1 < len(lms):
             reduced = np.empty(len(lms), np.int64)
             reduced[k] = name + 1
-            found = lms[_order_names(reduced, depth)]
+            found = lms[suffix_array(reduced)]
         order = _induce(s, smaller, sizes, found)
     return order[1:]
 
 
-def _order_names(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """The order of the suffixes of a reduced string."""
-    if names.max() <= INDUCE_NAMES and depth is None:
-        return suffix_array(names)
-    rank, span, n = names, 1, len(names)
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - span)] = rank[span:]
-        key = rank * (rank.max() + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.cumsum(np.append(1, key[order][1:] != key[order][:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        span *= 2
-        # Two names span three values at least.
-        if new[-1] == n or span >= n or depth is not None and span >= depth // 2 + 2:
-            return order
-
-
 def _place(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(stable order by value, counts, number within its value)."""
     order = np.argsort(values.astype(np.uint16) if k <= 1 << 16 else values, kind="stable")
@@ -76,6 +57,8 @@ def _induce(s: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.ndarr
     n, k = len(s), len(sizes)
     end = np.cumsum(sizes)
     start = end - sizes
+    if n < BUCKET * k:
+        return _induce_singly(s, smaller, start, end, lms)
     out = np.full(n, -1, np.int64)
     # Leftmost-smaller suffixes at the ends of their buckets.
     order, counts, number = _place(s[lms], k)
@@ -109,6 +92,32 @@ def _induce(s: np.ndarray, smaller: np.ndarray, sizes: np.ndarray, lms: np.ndarr
     return out
 
 
+def _induce_singly(s: np.ndarray, smaller: np.ndarray, start: np.ndarray, end: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """The same for strings of many values."""
+    order, counts, number = _place(s[lms], len(end))
+    v = s[lms][order]
+    placed = np.zeros(len(s), np.int64)
+    placed[end[v] - counts[v] + number] = lms[order]
+    out = placed.tolist()
+    # The bucket of the suffix before each one; none (-1) if that is not of the kind induced. An empty place is 0.
+    before = np.append(-1, np.where(smaller[:-1], -1, s[:-1])).tolist()
+    head = start.tolist()
+    for p in out:
+        c = before[p]
+        if c >= 0:
+            out[head[c]] = p - 1
+            head[c] += 1
+    before = np.append(-1, np.where(smaller[:-1], s[:-1], -1)).tolist()
+    tail = (end - 1).tolist()
+    for i in range(len(out) - 1, -1, -1):
+        p = out[i]
+        c = before[p]
+        if c >= 0:
+            out[tail[c]] = p - 1
+            tail[c] -= 1
+    return np.array(out, np.int64)
+
+
 def _larger(entries: np.ndarray, s: np.ndarray, smaller: np.ndarray, k: int, head: np.ndarray, out: np.ndarray) -> None:
     j = entries[entries > 0] - 1
     j = j[~smaller[j]]

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, decontaminate, jaccard, langid, licenses, packing, quality, secrets, substrings, urls
+from palimpsest.llm import chat, decontaminate, jaccard, langid, licenses, packing, quality, secrets, substrings, suffix, urls
 from palimpsest.llm.components import components
 from palimpsest.llm.suffix import permuted_lcp, suffix_array
 
@@ -190,8 +190,19 @@ def test_components(spark):
     assert found == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("bucket", [1, 256])
+def test_suffix_arrays(monkeypatch, bucket):
+    """Both ways of inducing, and strings whose names repeat over several levels."""
+    monkeypatch.setattr(suffix, "BUCKET", bucket)
     rng = np.random.default_rng(0)
+    levels = []
+    real = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda s: levels.append(len(s)) or real(s))
+    passage = rng.integers(1, 200, 300)
+    s = np.concatenate([np.tile(passage, 12), rng.integers(1, 4, 2000), passage])
+    t = s.tolist()
+    assert suffix.suffix_array(s).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+    assert len(levels) > 3 and levels == sorted(levels, reverse=True)
     for _ in range(150):
         s = rng.integers(1, rng.integers(2, 6), rng.integers(1, 50))
         t = s.tolist()

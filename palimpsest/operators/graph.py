@@ -9,25 +9,41 @@ from pyspark.sql import functions as F
 
 from palimpsest.plans.storage import written
 
+#: So many rounds' tables are read together before they are written as one.
+ROUNDS = 8
+#: Cycles are found by paths as long as a step of doubling makes no more than so many, by colours beyond it.
+PATHS = 1_000_000
+
+
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """roots: node; edges: src, dst. Every node reachable from a root, roots included, once."""
     edges = edges.select("src", "dst")
     seen = frontier = written(roots.select("node").distinct())
+    turn = 0
     while not frontier.isEmpty():
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         frontier = written(step.join(seen, "node", "left_anti"))
         seen = seen.unionByName(frontier)
+        turn += 1
+        if turn % ROUNDS == 0:
+            seen = written(seen)
     return seen
 
 
 def cycle_members(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Nodes that reach themselves, by paths of doubled length; with roots, only what they reach."""
+    """Nodes that reach themselves; with roots, only what they reach.
+
+    By paths of doubled length in few rounds, where these are few; in large graphs by colours, where no round holds more
+    rows than there are edges. Both are exact."""
     if roots is not None:
         live = closure(roots, edges)
         edges = edges.join(live, edges["src"] == live["node"], "left_semi")
-    edges = _trimmed(edges.select("src", "dst").distinct())
-    paths, n = edges, -1
+    rest = _trimmed(edges.select("src", "dst").distinct())
+    paths, n = rest, -1
     while True:
+        ends = paths.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("come")).join(paths.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("go")), "node")
+        if (ends.agg(F.sum(F.col("come").cast("double") * F.col("go"))).first()[0] or 0) > PATHS:
+            return _cycle_members_by_colour(rest)
         hop = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
         paths = written(paths.unionByName(hop).distinct())
         if (size := paths.count()) == n:
@@ -35,8 +51,43 @@ def cycle_members(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame
         n = size
 
 
+def _cycle_members_by_colour(edges: DataFrame) -> DataFrame:
+    """Each node gets the greatest node that reaches it as its colour. A node of its own colour with a way in from that
+    colour is on a cycle, and so is all that reaches it within the colour. What is left is coloured again."""
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    rest = _trimmed(edges.where("src != dst"))
+    while not rest.isEmpty():
+        colours = _colours(rest)
+        inside = rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src")
+        inside = inside.join(colours.select(F.col("node").alias("dst"), "colour"), "dst").where("c = colour")
+        inside = written(inside.select("src", "dst", "colour"))
+        heads = inside.where("dst = colour").select(F.col("dst").alias("node"))
+        ring = closure(heads, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        found = found.unionByName(ring)
+        rest = inside.join(ring, inside["src"] == ring["node"], "left_anti").join(ring, inside["dst"] == ring["node"], "left_anti")
+        rest = _trimmed(rest.select("src", "dst"))
+    return found.distinct()
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """node, colour: the greatest node that reaches it, itself included. Only nodes that changed are sent on."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    colours = frontier = written(nodes.select("node", F.col("node").alias("colour")))
+    turn = 0
+    while not frontier.isEmpty():
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("colour"))
+        old = colours.groupBy("node").agg(F.max("colour").alias("old"))
+        frontier = written(step.join(old, "node").where("colour > old").select("node", "colour"))
+        colours = colours.unionByName(frontier)
+        turn += 1
+        if turn % ROUNDS == 0:
+            colours = written(colours.groupBy("node").agg(F.max("colour").alias("colour")))
+    return written(colours.groupBy("node").agg(F.max("colour").alias("colour")))
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Without nodes that have no way in or no way out, which are on no cycle: what is left is small in most graphs."""
+    edges = written(edges)
     n = edges.count()
     while True:
         edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
@@ -47,16 +98,16 @@ def _trimmed(edges: DataFrame) -> DataFrame:
         n = size
 
 
-def cycles(edges: DataFrame, max_length: int = 100) -> DataFrame:
-    """A shortest cycle through each node that is on one: start, length, nodes (from start, start not repeated).
-    Equal cycles appear once, from their smallest node; ties go to the smaller path."""
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """A shortest cycle through each node that is on one: start, length, nodes (from start, start not repeated); with
+    max_length, only cycles of at most so many nodes. Equal cycles appear once, from their smallest node; ties go to the smaller path."""
     edges = edges.select("src", "dst").distinct()
     members = cycle_members(edges)
     inner = edges.join(members.withColumnRenamed("node", "src"), "src", "left_semi").join(members.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
     inner = written(inner)
     open_ = inner.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("nodes"))
     found, turn = None, 0
-    while turn < max_length:
+    while max_length is None or turn < max_length:
         turn += 1
         open_ = written(open_.groupBy("start", "at").agg(F.min("nodes").alias("nodes")))
         closed = open_.where("start = at").select("start", F.size("nodes").alias("length"), "nodes")
@@ -78,14 +129,18 @@ def distances_to(target: int, links: DataFrame, redirects: DataFrame) -> DataFra
     spark = links.sparkSession
     best = spark.range(1).select(F.lit(target).cast("long").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent"))
     best = frontier = written(best)
+    turn = 0
+    least = F.min(F.struct("dist", "parent")).alias("s")
     while not frontier.isEmpty():
         step = frontier.join(cost, frontier["node"] == cost["dst"]).select(F.col("src").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("dst").alias("parent"))
-        step = step.groupBy("node").agg(F.min(F.struct("dist", "parent")).alias("s")).select("node", "s.dist", "s.parent")
-        old = best.select("node", F.col("dist").alias("old"))
+        step = step.groupBy("node").agg(least).select("node", "s.dist", "s.parent")
+        old = best.groupBy("node").agg(F.min("dist").alias("old"))
         frontier = written(step.join(old, "node", "left").where("old is null or dist < old").select("node", "dist", "parent"))
-        merged = best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier)
-        best = written(merged)
-    return best
+        best = best.unionByName(frontier)
+        turn += 1
+        if turn % ROUNDS == 0:
+            best = written(best.groupBy("node").agg(least).select("node", "s.dist", "s.parent"))
+    return written(best.groupBy("node").agg(least).select("node", "s.dist", "s.parent"))
 
 
 def furthest(target: int, links: DataFrame, redirects: DataFrame) -> DataFrame:

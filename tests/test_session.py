@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 
@@ -83,7 +84,30 @@ def test_blame_sinks(spark, tmp_path):
     assert "2;7" in "".join(p.read_text() for p in (tmp_path / "w").glob("part-*"))
 
 
-def test_streaming(spark, tmp_path):
+@pytest.mark.parametrize("paths", [0, 1_000_000])
+def test_cycle_members(spark, monkeypatch, paths):
+    """By paths and by colours, against reachability, on a graph with several components that touch."""
+    monkeypatch.setattr(graph, "PATHS", paths)
+    rng = random.Random(3)
+    pairs = {(rng.randrange(24), rng.randrange(24)) for _ in range(26)} | {(30, 31), (31, 30), (31, 40), (40, 41), (41, 40)}
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    found = [r["node"] for r in graph.cycle_members(spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()]
+    assert sorted(found) == sorted(a for a, b in reach if a == b)
+
+
+def test_long_cycle(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    e = spark.createDataFrame([(k, (k + 1) % 7) for k in range(7)] + [(3, 10), (10, 11)], "src long, dst long")
+    assert [(r["length"], r["nodes"]) for r in graph.cycles(e).collect()] == [(7, list(range(7)))]
+    assert graph.cycles(e, max_length=6).count() == 0
+    none = spark.createDataFrame([], "page_id long")
+    assert {r["node"]: r["dist"] for r in graph.distances_to(11, e, none).collect()} == {11: 0, 10: 1, 3: 2, 2: 3, 1: 4, 0: 5, 6: 6, 5: 7, 4: 8}
+
+
+def test_streaming(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trending, "EVERY", 1)
     (tmp_path / "in").mkdir()
     row = '{{"project":"en","title":"{}","ts":"{}","views":{}}}\n'
     (tmp_path / "in" / "1.json").write_text(row.format("A", "2024-01-01T10:00:00Z", 2) + row.format("A", "2024-01-01T11:00:00Z", 3))
@@ -96,3 +120,7 @@ def test_streaming(spark, tmp_path):
     assert run() == {("A", day): 5}
     (tmp_path / "in" / "2.json").write_text(row.format("A", "2024-01-01T12:00:00Z", 4) + row.format("B", "2024-01-02T12:00:00Z", 1))
     assert run() == {("A", day): 9, ("B", dt.date(2024, 1, 2)): 1}
+    (tmp_path / "in" / "3.json").write_text(row.format("B", "2024-01-02T13:00:00Z", 2))
+    assert run() == {("A", day): 9, ("B", dt.date(2024, 1, 2)): 3}
+    folders = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert "batch=0" not in folders and len([x for x in folders if x.startswith("upto=")]) == 2

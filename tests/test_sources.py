@@ -144,6 +144,20 @@ def test_jdbc(spark):
     assert jdbc.join_history(page, rev, txt, first="20240102000000").count() == 1
 
 
+def test_keyed_reads(spark, monkeypatch):
+    """Against a database in memory: ranges of a key side by side, every row once."""
+    monkeypatch.setattr(jdbc, "PART_KEYS", 100)
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", "/dev/null")
+    url, properties = "jdbc:derby:memory:palimpsest;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(-5, 995, 3).selectExpr("id as K", "cast(id * 2 as string) as V").coalesce(1).write.jdbc(url, "t", "overwrite", properties)
+    rows = jdbc.read_keyed(spark, url, "t", properties, "K")
+    assert rows.rdd.getNumPartitions() == 10
+    assert sorted(map(tuple, rows.selectExpr("k", "cast(v as long)").collect())) == [(k, 2 * k) for k in range(-5, 995, 3)]
+    assert jdbc.read_keyed(spark, url, "t", properties).count() == rows.count()
+    spark.range(0).selectExpr("id as K").write.jdbc(url, "none_", "overwrite", properties)
+    assert jdbc.read_keyed(spark, url, "none_", properties, "K").count() == 0
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("Talk:x",), (":Category:X",), ("::x",), ("2001: y",), ("",)], "s string")
     got = [tuple(r) for r in df.select(titles.parse_title(F.col("s"), {}).alias("t")).select("t.*").collect()]

@@ -1,10 +1,11 @@
 """Graph operators: driver loops of one join per level over edge tables.
 
-Each round is written to the shared folder, so plans stay as short as one round and a lost executor costs one at most."""
+Each round is written to the shared folder, so plans stay as short as one round and a lost executor costs one at most.
+No join of rows of a graph is a broadcast: a table that is just small enough for one goes through the driver each round."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.plans.storage import written
@@ -15,14 +16,19 @@ ROUNDS = 8
 PATHS = 1_000_000
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join through the shuffle, whatever the sizes."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """roots: node; edges: src, dst. Every node reachable from a root, roots included, once."""
     edges = edges.select("src", "dst")
     seen = frontier = written(roots.select("node").distinct())
     turn = 0
     while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = written(step.join(seen, "node", "left_anti"))
+        step = _joined(frontier, edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        frontier = written(_joined(step, seen, "node", "left_anti"))
         seen = seen.unionByName(frontier)
         turn += 1
         if turn % ROUNDS == 0:
@@ -37,14 +43,15 @@ def cycle_members(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame
     rows than there are edges. Both are exact."""
     if roots is not None:
         live = closure(roots, edges)
-        edges = edges.join(live, edges["src"] == live["node"], "left_semi")
+        edges = _joined(edges, live, edges["src"] == live["node"], "left_semi")
     rest = _trimmed(edges.select("src", "dst").distinct())
     paths, n = rest, -1
     while True:
-        ends = paths.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("come")).join(paths.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("go")), "node")
+        come, go = (paths.groupBy(F.col(end).alias("node")).agg(F.count("*").alias(n)) for end, n in (("dst", "come"), ("src", "go")))
+        ends = _joined(come, go, "node")
         if (ends.agg(F.sum(F.col("come").cast("double") * F.col("go"))).first()[0] or 0) > PATHS:
             return _cycle_members_by_colour(rest)
-        hop = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
+        hop = _joined(paths, paths.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
         paths = written(paths.unionByName(hop).distinct())
         if (size := paths.count()) == n:
             return paths.where("src = dst").select(F.col("src").alias("node"))
@@ -58,13 +65,13 @@ def _cycle_members_by_colour(edges: DataFrame) -> DataFrame:
     rest = _trimmed(edges.where("src != dst"))
     while not rest.isEmpty():
         colours = _colours(rest)
-        inside = rest.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src")
-        inside = inside.join(colours.select(F.col("node").alias("dst"), "colour"), "dst").where("c = colour")
+        inside = _joined(rest, colours.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src")
+        inside = _joined(inside, colours.select(F.col("node").alias("dst"), "colour"), "dst").where("c = colour")
         inside = written(inside.select("src", "dst", "colour"))
         heads = inside.where("dst = colour").select(F.col("dst").alias("node"))
         ring = closure(heads, inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         found = found.unionByName(ring)
-        rest = inside.join(ring, inside["src"] == ring["node"], "left_anti").join(ring, inside["dst"] == ring["node"], "left_anti")
+        rest = _joined(_joined(inside, ring, inside["src"] == ring["node"], "left_anti"), ring, inside["dst"] == ring["node"], "left_anti")
         rest = _trimmed(rest.select("src", "dst"))
     return found.distinct()
 
@@ -75,9 +82,9 @@ def _colours(edges: DataFrame) -> DataFrame:
     colours = frontier = written(nodes.select("node", F.col("node").alias("colour")))
     turn = 0
     while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("colour"))
+        step = _joined(frontier, edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("colour"))
         old = colours.groupBy("node").agg(F.max("colour").alias("old"))
-        frontier = written(step.join(old, "node").where("colour > old").select("node", "colour"))
+        frontier = written(_joined(step, old, "node").where("colour > old").select("node", "colour"))
         colours = colours.unionByName(frontier)
         turn += 1
         if turn % ROUNDS == 0:
@@ -90,8 +97,8 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     edges = written(edges)
     n = edges.count()
     while True:
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        edges = _joined(edges, edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = _joined(edges, edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
         edges = written(edges)
         if (size := edges.count()) == n:
             return edges
@@ -103,8 +110,8 @@ def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
     max_length, only cycles of at most so many nodes. Equal cycles appear once, from their smallest node; ties go to the smaller path."""
     edges = edges.select("src", "dst").distinct()
     members = cycle_members(edges)
-    inner = edges.join(members.withColumnRenamed("node", "src"), "src", "left_semi").join(members.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
-    inner = written(inner)
+    inner = _joined(edges, members.withColumnRenamed("node", "src"), "src", "left_semi")
+    inner = written(_joined(inner, members.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
     open_ = inner.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("nodes"))
     found, turn = None, 0
     while max_length is None or turn < max_length:
@@ -112,10 +119,10 @@ def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
         open_ = written(open_.groupBy("start", "at").agg(F.min("nodes").alias("nodes")))
         closed = open_.where("start = at").select("start", F.size("nodes").alias("length"), "nodes")
         found = closed if found is None else found.unionByName(closed)
-        rest = open_.join(closed.select("start"), "start", "left_anti").where(~F.array_contains("nodes", F.col("at")))
+        rest = _joined(open_, closed.select("start"), "start", "left_anti").where(~F.array_contains("nodes", F.col("at")))
         if rest.isEmpty():
             break
-        open_ = rest.join(inner, rest["at"] == inner["src"]).select("start", F.col("dst").alias("at"), F.concat("nodes", F.array("at")).alias("nodes"))
+        open_ = _joined(rest, inner, rest["at"] == inner["src"]).select("start", F.col("dst").alias("at"), F.concat("nodes", F.array("at")).alias("nodes"))
     least = F.array_min("nodes")
     turned = F.concat(F.slice("nodes", F.array_position("nodes", least).cast("int"), F.size("nodes")), F.slice("nodes", 1, F.array_position("nodes", least).cast("int") - 1))
     return found.select(least.alias("start"), "length", turned.alias("nodes")).distinct()
@@ -124,7 +131,7 @@ def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
 def distances_to(target: int, links: DataFrame, redirects: DataFrame) -> DataFrame:
     """node, dist, parent: the least number of links to the target; a link of a redirect page costs nothing. links: src, dst;
     redirects: page_id."""
-    cost = links.join(redirects.select(F.col("page_id").alias("src"), F.lit(0).alias("cost")), "src", "left").select("src", "dst", F.coalesce("cost", F.lit(1)).alias("cost"))
+    cost = _joined(links, redirects.select(F.col("page_id").alias("src"), F.lit(0).alias("cost")), "src", "left").select("src", "dst", F.coalesce("cost", F.lit(1)).alias("cost"))
     cost = written(cost)
     spark = links.sparkSession
     best = spark.range(1).select(F.lit(target).cast("long").alias("node"), F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("parent"))
@@ -132,10 +139,10 @@ def distances_to(target: int, links: DataFrame, redirects: DataFrame) -> DataFra
     turn = 0
     least = F.min(F.struct("dist", "parent")).alias("s")
     while not frontier.isEmpty():
-        step = frontier.join(cost, frontier["node"] == cost["dst"]).select(F.col("src").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("dst").alias("parent"))
+        step = _joined(frontier, cost, frontier["node"] == cost["dst"]).select(F.col("src").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("dst").alias("parent"))
         step = step.groupBy("node").agg(least).select("node", "s.dist", "s.parent")
         old = best.groupBy("node").agg(F.min("dist").alias("old"))
-        frontier = written(step.join(old, "node", "left").where("old is null or dist < old").select("node", "dist", "parent"))
+        frontier = written(_joined(step, old, "node", "left").where("old is null or dist < old").select("node", "dist", "parent"))
         best = best.unionByName(frontier)
         turn += 1
         if turn % ROUNDS == 0:
@@ -156,7 +163,7 @@ def paths_to(target: int, links: DataFrame, redirects: DataFrame) -> DataFrame:
     paths = dist.where(F.col("dist") == most).select("node", "dist", F.array("node").alias("path"), F.col("parent").alias("at"))
     parents = dist.select(F.col("node").alias("at"), F.col("parent").alias("up"))
     while not paths.where("at is not null").isEmpty():
-        step = paths.join(parents, "at", "left").select("node", "dist", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"), F.col("up").alias("at"))
+        step = _joined(paths, parents, "at", "left").select("node", "dist", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"), F.col("up").alias("at"))
         paths = written(step)
     return paths.select("node", "dist", "path")
 

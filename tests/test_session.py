@@ -6,6 +6,7 @@ import pytest
 from palimpsest.operators import blame, graph
 from palimpsest.operators.selectors import WikiTables
 from palimpsest.plans.session import WikiSession
+from palimpsest.plans.storage import written
 from palimpsest.sinks import files
 from palimpsest.streaming import trending
 
@@ -106,6 +107,25 @@ def test_long_cycle(spark, monkeypatch):
     assert {r["node"]: r["dist"] for r in graph.distances_to(11, e, none).collect()} == {11: 0, 10: 1, 3: 2, 2: 3, 1: 4, 0: 5, 6: 6, 5: 7, 4: 8}
 
 
+@pytest.mark.parametrize("paths", [0, 1_000_000])
+def test_rounds_stay_off_the_driver(spark, monkeypatch, paths):
+    """No round gathers rows of the graph in the driver, as a broadcast would."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(graph, "written", seen)
+    monkeypatch.setattr(graph, "PATHS", paths)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 9), (5, 9)], "src long, dst long")
+    pages = spark.createDataFrame([(4,)], "page_id long")
+    assert {(r["node"], r["dist"], tuple(r["path"])) for r in graph.paths_to(9, e, pages).collect()} == {(1, 3, (1, 2, 3, 4, 9))}
+    assert [r["nodes"] for r in graph.cycles(e).collect()] == [[1, 2, 3]]
+    assert {r["node"] for r in graph.cycle_members(e, spark.createDataFrame([(2,)], "node long")).collect()} == {1, 2, 3}
+    assert sum("Join" in p for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_streaming(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(trending, "EVERY", 1)
     (tmp_path / "in").mkdir()

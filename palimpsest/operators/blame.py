@@ -1,52 +1,68 @@
 """Line authorship: which revision each line of a page's last text comes from.
 
-A page's history is folded in order, so one page is one group; its memory is its current lines plus one copy of each
-distinct text."""
+A page's history is folded in order as its rows stream by, so one page is in one task; its memory is its current lines
+plus one copy of each distinct text."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import html_escape, split_lines
 from palimpsest.operators.diff import diff_values
 
+#: Lines of an Arrow batch at least, but for the last.
+BATCH = 20_000
+
 
 def wrapped_lines(text: str, limit: int | None = None) -> list[str]:
     """Pieces that end after a line feed, or after the first white space once `limit` characters are reached."""
+    if limit is None:
+        *whole, last = text.split("\n")
+        return [x + "\n" for x in whole] + ([last] if last else [])
     out, start = [], 0
     for i, c in enumerate(text):
-        if c == "\n" or limit is not None and i - start >= limit and c.isspace():
+        if c == "\n" or i - start >= limit and c.isspace():
             out.append(text[start : i + 1])
             start = i + 1
     return out + [text[start:]] if start < len(text) else out
 
 
-def fold(texts: Sequence[str], wrap: int | None = None, index_first: bool = False) -> list[tuple[str, int]]:
+def fold(texts: Iterable[str], wrap: int | None = None, index_first: bool = False) -> list[tuple[str, int]]:
     """(line, number of its revision from 0) of the last text.
 
     A text that equals an earlier one is a revert: the earlier lines come back with their own revisions. The first
     text is not looked up so unless index_first: a revert to it is credited to whoever reverts."""
     lines: list[tuple[str, int]] = []
-    seen: dict[str, list[tuple[str, int]]] = {}
+    keys: list[str] = []
+    seen: dict[str, tuple[list[tuple[str, int]], list[str]]] = {}
     for n, text in enumerate(texts):
         if text in seen:
-            lines = seen[text]
+            lines, keys = seen[text]
             continue
         new = wrapped_lines(text, wrap)
+        new_keys = [x.strip() for x in new]
+        # What begins and ends alike is no part of the diff.
+        top, most = 0, min(len(keys), len(new_keys))
+        while top < most and keys[top] == new_keys[top]:
+            top += 1
+        end_a, end_b = len(keys), len(new_keys)
+        while end_a > top and end_b > top and keys[end_a - 1] == new_keys[end_b - 1]:
+            end_a, end_b = end_a - 1, end_b - 1
         numbers: dict[str, int] = {}
-        old_keys, new_keys = ([numbers.setdefault(x.strip(), len(numbers)) for x in xs] for xs in ([x for x, _ in lines], new))
-        out, at = [], 0
-        for start_a, start_b, deleted, inserted in diff_values(old_keys, new_keys):
-            out += lines[at:start_a] + [(x, n) for x in new[start_b : start_b + inserted]]
-            at = start_a + deleted
-        lines = out + lines[at:]
+        old, now = ([numbers.setdefault(x, len(numbers)) for x in xs] for xs in (keys[top:end_a], new_keys[top:end_b]))
+        out, at = lines[:top], top
+        for start_a, start_b, deleted, inserted in diff_values(old, now):
+            out += lines[at : top + start_a]
+            out += [(x, n) for x in new[top + start_b : top + start_b + inserted]]
+            at = top + start_a + deleted
+        lines, keys = out + lines[at:], new_keys
         if n or index_first:
-            seen[text] = lines
+            seen[text] = lines, keys
     return lines
 
 
@@ -61,15 +77,47 @@ def blame(history: DataFrame, wrap: int | None = None, index_first: bool = False
     """history: page_id, rev_seq, contributor, text. page_id, line_no, line, rev_no (from 1), rev_seq, contributor; also ts
     and minor of the revision where the history has them."""
     extra = [f for f in history.schema.fields if f.name in ("ts", "minor")]
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("rev_seq", kind="stable").reset_index(drop=True)
-        lines = fold([t or "" for t in page["text"]], wrap, index_first)
-        at = [n for _, n in lines]
-        return pd.DataFrame({"page_id": page["page_id"].iloc[0], "line_no": range(1, len(lines) + 1), "line": [x for x, _ in lines], "rev_no": [n + 1 for n in at], "rev_seq": page["rev_seq"].iloc[at].to_numpy(), "contributor": page["contributor"].iloc[at].to_numpy(), **{f.name: page[f.name].iloc[at].to_numpy() for f in extra}})
-
     kinds = ", ".join(["page_id long, line_no int, line string, rev_no int, rev_seq long, contributor string", *(f"{f.name} {f.dataType.simpleString()}" for f in extra)])
-    return history.select("page_id", "rev_seq", "contributor", "text", *(f.name for f in extra)).groupBy("page_id").applyInPandas(run, kinds)
+    # The number puts a page's rows into one task, one after the other, without a shuffle where they are so already.
+    number = F.row_number().over(Window.partitionBy("page_id").orderBy(F.asc_nulls_last("rev_seq")))
+    rows = history.select(F.col("page_id").cast("long").alias("page_id"), F.col("rev_seq").cast("long").alias("rev_seq"), F.col("contributor").cast("string").alias("contributor"), F.col("text").cast("string").alias("text"), *(f.name for f in extra))
+    rows = rows.select("page_id", number.alias("rev_no"), F.coalesce("text", F.lit("")).alias("text"), "rev_seq", "contributor", *(f.name for f in extra))
+    return rows.mapInArrow(lambda batches: _blamed(batches, wrap, index_first), kinds)
+
+
+def _blamed(batches: Iterator[pa.RecordBatch], wrap: int | None, index_first: bool) -> Iterator[pa.RecordBatch]:
+    """batches: page_id, rev_no, text, and the columns that lines take from their revisions; by page_id and rev_no."""
+    names, kinds = ["page_id", "line_no", "line", "rev_no"], [pa.int64(), pa.int32(), pa.string(), pa.int32()]
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            if len(names) == 4:
+                names.extend(batch.schema.names[3:])
+                kinds.extend(batch.schema.types[3:])
+            # Times as numbers: they come back as they were in any time zone.
+            yield from zip(*((c.cast(pa.int64()) if pa.types.is_timestamp(c.type) else c).to_pylist() for c in batch.columns), strict=True)
+
+    def texts(page: Iterator[tuple], revisions: list[tuple]) -> Iterator[str]:
+        for row in page:
+            revisions.append(row[3:])
+            if row[1] != len(revisions):
+                raise AssertionError(f"revision {row[1]} of page {row[0]} comes in place {len(revisions)}")
+            yield row[2]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = (pa.array(x, pa.int64()).cast(k) if pa.types.is_timestamp(k) else pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True))
+        return pa.RecordBatch.from_arrays(list(columns), names=names)
+
+    found: list[tuple] = []
+    for page_id, page in groupby(rows(), key=lambda r: r[0]):
+        revisions: list[tuple] = []
+        for k, (line, n) in enumerate(fold(texts(page, revisions), wrap, index_first), 1):
+            found.append((page_id, k, line, n + 1, *revisions[n]))
+        if len(found) >= BATCH:
+            yield batch(found)
+            found = []
+    if found:
+        yield batch(found)
 
 
 def first_page(history: DataFrame) -> DataFrame:

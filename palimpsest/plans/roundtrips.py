@@ -237,7 +237,7 @@ def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories with known authors: each event puts a line of its own above those of the page."""
     e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("rev_seq"), F.col("event_type").alias("contributor"))
     line = F.concat(F.lit("event "), F.col("rev_seq").cast("string"), F.lit("\n"))
-    above = Window.partitionBy("page_id").orderBy("rev_seq").rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy("page_id").orderBy(F.asc_nulls_last("rev_seq")).rowsBetween(Window.unboundedPreceding, 0)
     return e.withColumn("text", F.array_join(F.reverse(F.collect_list(line).over(above)), ""))
 
 

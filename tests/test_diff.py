@@ -69,3 +69,36 @@ def test_fold_random_texts():
     for _ in range(50):
         texts = ["\n".join(rng.choice("abc") for _ in range(rng.randint(0, 8))) for _ in range(6)]
         assert [x.strip() for x, _ in blame.fold(texts) if x.strip()] == texts[-1].split()
+
+
+def test_fold_diffs_only_what_changed(monkeypatch):
+    """Lines above and below a change are not looked at again by the diff."""
+    seen = []
+
+    def values(a, b):
+        seen.append((len(a), len(b)))
+        return diff.diff_values(a, b)
+
+    monkeypatch.setattr(blame, "diff_values", values)
+    texts = ["".join(f"{k}\n" for k in range(n, -1, -1)) for n in range(60)]
+    assert blame.fold(texts) == [(f"{k}\n", k) for k in range(59, -1, -1)]
+    assert max(max(x) for x in seen) == 1
+
+
+def test_pages_stream(spark):
+    """Pages over several Arrow batches, a null page and a null place in the history, times as they were."""
+    rng = random.Random(2)
+    history = [(page, seq, f"u{seq}", "\n".join(rng.choice("abcd") for _ in range(rng.randint(0, 6))), seq) for page in (1, 2, None, 7) for seq in (5, 9, None, 1, 3, 30, 4)]
+    df = spark.createDataFrame(history, "page_id int, rev_seq long, contributor string, text string, t long").selectExpr("page_id", "rev_seq", "contributor", "text", "timestamp_seconds(t) AS ts", "t % 2 = 0 AS minor")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = {tuple(r) for r in blame.blame(df).selectExpr("page_id", "line_no", "line", "rev_no", "rev_seq", "contributor", "unix_seconds(ts)", "minor").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = set()
+    for page in (1, 2, None, 7):
+        own = sorted((h for h in history if h[0] == page), key=lambda h: (h[1] is None, h[1]))
+        for k, (line, n) in enumerate(blame.fold([h[3] for h in own]), 1):
+            seq = own[n][1]
+            expected.add((page, k, line, n + 1, seq, own[n][2], seq, None if seq is None else seq % 2 == 0))
+    assert found == expected and len(found) > 8

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import thousands
 from palimpsest.operators.blame import blame_html, blame_text
+from palimpsest.plans.storage import written
 
 # Elements of a group, by column.
 ELEMENTS = {
@@ -47,7 +48,9 @@ def write_wanted(wanted: DataFrame, path: str) -> None:
 
 
 def write_blame(lines: DataFrame, path: str) -> None:
-    ordered = lines.repartitionByRange("page_id", "line_no").sortWithinPartitions("page_id", "line_no")
+    """One row a line, by page and line; files in order of their names. Ranges are found by a pass of its own, so the lines
+    are kept for it: else all pages would be folded twice."""
+    ordered = written(lines).repartitionByRange("page_id", "line_no").sortWithinPartitions("page_id", "line_no")
     blame_text(ordered).write.mode("overwrite").text(path)
 
 

@@ -85,6 +85,21 @@ def test_blame_sinks(spark, tmp_path):
     assert "2;7" in "".join(p.read_text() for p in (tmp_path / "w").glob("part-*"))
 
 
+def test_blame_file_folds_once(spark, tmp_path):
+    """The lines are made once, though their ranges are found before they are written."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    lines = blame.blame(spark.createDataFrame([(k % 5, k, "ann", f"{k}\n") for k in range(20)], "page_id long, rev_seq long, contributor string, text string"))
+    files.write_blame(lines.mapInPandas(counted, lines.schema), str(tmp_path / "b"))
+    rows = [x for p in sorted((tmp_path / "b").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x.split("\t")[-1] for x in rows] == ["15", "16", "17", "18", "19"] and made.value == 5
+
+
 @pytest.mark.parametrize("paths", [0, 1_000_000])
 def test_cycle_members(spark, monkeypatch, paths):
     """By paths and by colours, against reachability, on a graph with several components that touch."""

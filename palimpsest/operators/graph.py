@@ -160,11 +160,16 @@ def paths_to(target: int, links: DataFrame, redirects: DataFrame) -> DataFrame:
     """node, dist, path (from the node to the target) of the furthest nodes: their parents, level by level."""
     dist = distances_to(target, links, redirects)
     most = dist.agg(F.max("dist")).first()[0] or 0
-    paths = dist.where(F.col("dist") == most).select("node", "dist", F.array("node").alias("path"), F.col("parent").alias("at"))
-    parents = dist.select(F.col("node").alias("at"), F.col("parent").alias("up"))
-    while not paths.where("at is not null").isEmpty():
-        step = _joined(paths, parents, "at", "left").select("node", "dist", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"), F.col("up").alias("at"))
-        paths = written(step)
+    ends = dist.where(F.col("dist") == most).select("node", "dist", F.array("node").alias("path"), F.col("parent").alias("at"), F.col("dist").alias("height"))
+    parents = dist.select(F.col("node").alias("at"), F.col("parent").alias("up"), F.col("dist").alias("own"))
+    paths = written(ends)
+    while True:
+        # A parent is as far as its child or one step nearer, so each level looks only at nodes of its own distances.
+        low, high = paths.where("at is not null").agg(F.min("height"), F.max("height")).first()
+        if low is None:
+            break
+        step = _joined(paths, parents.where(F.col("own").between(low - 1, high)), "at", "left")
+        paths = written(step.select("node", "dist", F.when(F.col("at").isNull(), F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"), F.col("up").alias("at"), F.coalesce("own", "height").alias("height")))
     return paths.select("node", "dist", "path")
 
 

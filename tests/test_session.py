@@ -141,6 +141,25 @@ def test_rounds_stay_off_the_driver(spark, monkeypatch, paths):
     assert sum("Join" in p for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
 
 
+def test_paths_over_redirects(spark):
+    """Furthest nodes and their paths where some links cost nothing, against plain relaxation."""
+    rng = random.Random(8)
+    pairs = sorted({(k, rng.randrange(max(0, k - 4), k)) for k in range(1, 30)} | {(rng.randrange(30), rng.randrange(30)) for _ in range(6)})
+    free = {k for k in range(30) if k % 3 == 0}
+    best = {0: 0}
+    for _ in range(30):
+        for a, b in pairs:
+            if b in best:
+                best[a] = min(best.get(a, 99), best[b] + (a not in free))
+    most = max(best.values())
+    found = graph.paths_to(0, spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(k,) for k in sorted(free)], "page_id long")).collect()
+    assert {(r["node"], r["dist"]) for r in found} == {(k, most) for k, d in best.items() if d == most} and most > 3
+    for r in found:
+        path = r["path"]
+        assert path[0] == r["node"] and path[-1] == 0 and set(zip(path, path[1:])) <= set(pairs)
+        assert sum(k not in free for k in path[:-1]) == most
+
+
 def test_streaming(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(trending, "EVERY", 1)
     (tmp_path / "in").mkdir()
